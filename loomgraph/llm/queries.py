@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, mixing, quality
+from loomgraph.llm import chat, decontaminate, licenses, mixing, quality
 
 QUERIES = {
+    "op3_license_scan": licenses.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": quality.op5,
+    "op7_decontaminate": decontaminate.op7,
     "op8_chat_format": chat.op8,
 }
 SQL = {
+    "op3_license_scan": licenses.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }
