@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontaminate, licenses, mixing, quality
+from loomgraph.llm import chat, decontaminate, licenses, mixing, quality, secrets
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2,
     "op3_license_scan": licenses.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": quality.op5,
