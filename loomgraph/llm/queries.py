@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontaminate, licenses, mixing, quality, secrets
+from loomgraph.llm import chat, decontaminate, licenses, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op2_secret_scan": secrets.op2,
     "op3_license_scan": licenses.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": quality.op5,
+    "op6_simhash_dedup": simhash.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_chat_format": chat.op8,
 }
