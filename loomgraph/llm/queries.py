@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontaminate, licenses, mixing, quality, secrets, simhash
+from loomgraph.llm import chat, decontaminate, licenses, mixing, quality, secrets, simhash, substrings
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1,
     "op2_secret_scan": secrets.op2,
     "op3_license_scan": licenses.op3,
     "op4_mix_sources": mixing.op4,
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.op8,
 }
 SQL = {
+    "op1_substring_dedup": substrings.OP1_SQL,
     "op3_license_scan": licenses.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
