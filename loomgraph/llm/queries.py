@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, decontaminate, langid, licenses, mixing, quality, secrets, simhash, substrings
+from loomgraph.llm import chat, decontaminate, html, langid, licenses, mixing, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash_dedup": simhash.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_chat_format": chat.op8,
+    "op9_html_extract": html.op9,
     "op10_language_id": langid.op10,
 }
 SQL = {

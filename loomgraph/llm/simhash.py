@@ -287,10 +287,13 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
 
 def dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """docs without those that link to an earlier one: of every component the row with
-    the smallest doc_id stays, once."""
+    the smallest doc_id stays, once. Rows without a doc_id stay."""
     found = near_duplicates(docs, split)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = settle(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-keep")
+    out = docs.where("doc_id IS NOT NULL").join(keep.select("doc_id"), "doc_id", "left_semi")
+    if not keep.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
