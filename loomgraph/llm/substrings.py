@@ -26,6 +26,7 @@ bits within a part, so the chance of any wrong window in 10^12 is about 1 in 10^
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,9 +151,11 @@ def _schema(*fields: tuple[str, pa.DataType]) -> pa.Schema:
 
 _B, _I, _L = pa.binary(), pa.int32(), pa.int64()
 _BLOCKS_AND_PROBES = _schema(("part", _I), ("kind", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B))
-_HITS = _schema(("doc_id", _L), ("_text", _L), ("part", _I), ("probes", _B), ("blocks", _B))
+_HITS = _schema(("bucket", _I), ("ids", _B), ("prints", _B), ("parts", _B), ("kinds", _B), ("counts", _B), ("values", _B))
+_DOC_HITS = _schema(("doc_id", _L), ("_text", _L), ("parts", _B), ("kinds", _B), ("ordinals", _B))
 _WINDOWS = _schema(("part", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B), ("places", _B))
-_GONE = _schema(("doc_id", _L), ("_text", _L), ("places", _B))
+_GONE = _schema(("bucket", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B))
+_DOC_GONE = _schema(("doc_id", _L), ("_text", _L), ("runs", _B))
 _DDL = {"int32": "int", "int64": "long", "binary": "binary"}
 
 
@@ -164,6 +167,37 @@ def _numbers(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _by_document(parts: int, ids: np.ndarray, keys: list[np.ndarray], values: np.ndarray) -> Iterator[list]:
+    """Rows of entries packed by a hash of the document: a row per part of the documents,
+    however many documents and entries there are. keys start with the texts' hashes."""
+    if not len(ids):
+        return
+    bucket = _part(ids.view(_U), parts)
+    order = np.lexsort((*keys[::-1], ids, bucket))
+    bucket, ids, keys, values = bucket[order], ids[order], [k[order] for k in keys], values[order]
+    new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in (bucket, ids, *keys)], axis=0)))
+    yield from _packed(bucket, np.cumsum(new) - 1, [x[new] for x in (ids, *keys)], [values])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(doc_id, text hash, [values, entries of the other names ...]) of each document."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(3 + len(names))]
+    for b in batches:
+        for r in b.to_pylist():
+            counts = np.frombuffer(r["counts"], np.uint32)
+            columns[2].append(np.frombuffer(r["values"], np.uint32))
+            for c, name in zip((0, 1, *range(3, 3 + len(names))), ("ids", "prints", *names), strict=True):
+                columns[c].append(np.repeat(np.frombuffer(r[name], np.int64), counts))
+    if not columns[0]:
+        return
+    ids, prints, *rest = (np.concatenate(c) for c in columns)
+    order = np.lexsort((prints, ids))
+    ids, prints, rest = ids[order], prints[order], [x[order] for x in rest]
+    cuts = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])) + 1, [len(ids)]))
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(ids[s]), int(prints[s]), [x[s:e] for x in rest]
+
+
 def _index(parts: int):
     """Pass A, over documents: blocks (kind 0) and probes (kind 1), packed."""
 
@@ -189,8 +223,8 @@ def _read(batches: Iterator[pa.RecordBatch], kinds: bool) -> Iterator[tuple[int,
             yield r["part"], r["kind"] if kinds else 0, np.frombuffer(r["ids"], np.int64), np.frombuffer(r["prints"], np.int64), np.frombuffer(r["counts"], np.uint32), r
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass A, over the parts: which probes and which blocks have hits."""
+def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Pass A, over the parts: which probes (kind 1) and which blocks (0) have hits."""
     keys, docs, sides = ([], []), ([], []), ([], [])
     for part, kind, ids, prints, counts, r in _read(batches, True):
         keys[kind].append(np.frombuffer(r["values"], np.uint32).astype(_U) | _U(part << 32))
@@ -217,19 +251,23 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_hits.append(owns[at : at + len(k)])
         at += len(k)
 
+    entries: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for kind, hits in ((1, probe_hits), (0, block_hits)):
+        for (part, ids, prints, counts), hit in zip(sides[kind], hits, strict=True):
+            ends, at = np.cumsum(counts.astype(np.int64)), np.flatnonzero(hit)
+            who = np.searchsorted(ends, at, "right")
+            for column, x in zip(entries, (ids[who], prints[who], np.full(len(at), part), np.full(len(at), kind), (at - (ends - counts)[who]).astype(np.uint32)), strict=True):
+                column.append(x)
+    ids, prints, of_part, kinds, ordinals = (np.concatenate(c) for c in entries)
+    yield from _batches(_by_document(parts, ids, [prints, of_part, kinds], ordinals), _HITS)
+
+
+def _hits_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[list]:
-        for kind, hits in ((1, probe_hits), (0, block_hits)):
-            for (part, ids, prints, counts), hit in zip(sides[kind], hits, strict=True):
-                ends = np.cumsum(counts.astype(np.int64))
-                at = np.flatnonzero(hit)
-                who = np.searchsorted(ends, at, "right")
-                inside = (at - (ends - counts)[who]).astype(np.uint32)
-                cuts = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1, [len(who)])) if len(who) else np.zeros(1, int)
-                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    found = inside[s:e].tobytes()
-                    yield [int(ids[who[s]]), int(prints[who[s]]), part, found if kind else b"", b"" if kind else found]
+        for doc, text, (ordinals, of_part, kinds) in _gathered(batches, ("parts", "kinds")):
+            yield [doc, text, of_part.astype(np.int32).tobytes(), kinds.astype(np.uint8).tobytes(), ordinals.tobytes()]
 
-    yield from _batches(rows(), _HITS)
+    yield from _batches(rows(), _DOC_HITS)
 
 
 def _places(sorted_keys: np.ndarray, order: np.ndarray, keys: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
@@ -242,24 +280,19 @@ def _extend(parts: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            ids, prints, hits = _numbers(b, "doc_id"), _numbers(b, "_text"), b.column("hits")
+            ids, prints = _numbers(b, "doc_id"), _numbers(b, "_text")
+            hits = [[np.frombuffer(x, t) for x in b.column(c).to_pylist()] for c, t in (("parts", np.int32), ("kinds", np.uint8), ("ordinals", np.uint32))]
             for s, e, data, offsets in _chunks(b.column("text")):
                 words = Words(data, offsets)
                 at, part, _ = _probes(words, parts)
                 marks = []
-                for kind in ("probes", "blocks"):
-                    sel = np.arange(len(at)) if kind == "probes" else np.flatnonzero(words.place[at] % BLOCK == 0)
+                of_part, kinds, ordinals = (np.concatenate(x[s:e]) for x in hits)
+                doc = np.repeat(np.arange(e - s), [len(x) for x in hits[1][s:e]])
+                for kind in (1, 0):
+                    sel = np.arange(len(at)) if kind else np.flatnonzero(words.place[at] % BLOCK == 0)
                     key = words.doc[at[sel]] * parts + part[sel]
-                    order = np.argsort(key, kind="stable")
-                    keys, ordinals = [], []
-                    for d in range(s, e):
-                        for h in hits[d].as_py():
-                            if h[kind]:
-                                o = np.frombuffer(h[kind], np.uint32)
-                                ordinals.append(o)
-                                keys.append(np.full(len(o), (d - s) * parts + h["part"]))
-                    if keys:
-                        marks.append(at[sel[_places(key[order], order, np.concatenate(keys), np.concatenate(ordinals))]])
+                    order, mine = np.argsort(key, kind="stable"), kinds == kind
+                    marks.append(at[sel[_places(key[order], order, doc[mine] * parts + of_part[mine], ordinals[mine])]])
                 # windows that hold a hit's BLOCK words start up to WINDOW - BLOCK before it
                 start, h = words.windows(WINDOW)
                 cover = np.zeros(len(words.doc) + 1, np.int64)
@@ -276,7 +309,7 @@ def _extend(parts: int):
     return lambda batches: _batches(rows(batches), _WINDOWS)
 
 
-def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Pass B, over the parts: the windows that start in a smaller document too."""
     keys, docs, sides = [], [], []
     for _, _, ids, prints, counts, r in _read(batches, False):
@@ -292,41 +325,36 @@ def _settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     gone = np.empty(len(key), bool)
     gone[order] = smallest[np.cumsum(new) - 1] < doc[order]
 
+    ids, prints, places = (np.concatenate(x) for x in zip(*[(np.repeat(i, c), np.repeat(p, c), at) for i, p, c, at in sides], strict=True))
+    yield from _batches(_by_document(parts, ids[gone], [prints[gone]], places[gone]), _GONE)
+
+
+def _runs_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word runs that a document's windows cover: first, end, first, end ..."""
+
     def rows() -> Iterator[list]:
-        at = 0
-        for ids, prints, counts, places in sides:
-            hit = np.flatnonzero(gone[at : at + len(places)])
-            at += len(places)
-            ends = np.cumsum(counts.astype(np.int64))
-            who = np.searchsorted(ends, hit, "right")
-            cuts = np.concatenate(([0], np.flatnonzero(who[1:] != who[:-1]) + 1, [len(who)])) if len(who) else np.zeros(1, int)
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                yield [int(ids[who[s]]), int(prints[who[s]]), places[hit[s:e]].tobytes()]
+        for doc, text, (places,) in _gathered(batches, ()):
+            starts = np.sort(places).astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + WINDOW)))
+            ends = np.concatenate((starts[new[1:] - 1], starts[-1:])) + WINDOW
+            yield [doc, text, np.stack([starts[new], ends], axis=1).astype(np.uint32).tobytes()]
 
-    yield from _batches(rows(), _GONE)
+    yield from _batches(rows(), _DOC_GONE)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass C, over documents: the words that stay."""
     for b in batches:
-        ids, texts, gone = b.column("doc_id"), b.column("text").cast(pa.binary()), b.column("gone")
+        ids, texts = b.column("doc_id"), b.column("text").cast(pa.binary())
         total, removed, spans, kept = [], [], [], []
-        for text, places in zip(texts, gone, strict=True):
+        for text, runs in zip(texts, b.column("runs").to_pylist(), strict=True):
             words = (text.as_py() or b"").split()
-            drop, runs = np.zeros(len(words) + 1, np.int64), []
-            if places.is_valid and len(places):
-                starts = np.unique(np.frombuffer(b"".join(places.as_py()), np.uint32)).astype(np.int64)
-                drop[starts] += 1
-                np.add.at(drop, starts + WINDOW, -1)
-                covered = np.cumsum(drop[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
-                runs = [{"first": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2).tolist()]
-                words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                total.append(len(covered))
-            else:
-                total.append(len(words))
+            total.append(len(words))
+            cut = np.frombuffer(runs or b"", np.uint32).reshape(-1, 2).tolist()
+            for first, end in reversed(cut):
+                del words[first:end]
             removed.append(total[-1] - len(words))
-            spans.append(runs)
+            spans.append([{"first": first, "end": end} for first, end in cut])
             kept.append(b" ".join(words).decode())
         yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "removed", "kept"])
 
@@ -340,13 +368,13 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
-    met = named.mapInArrow(_index(parts), _ddl(_BLOCKS_AND_PROBES)).repartition(parts, "part").mapInArrow(_meet, _ddl(_HITS))
-    hits = settle(met, "anchors").groupBy("doc_id", "_text").agg(F.collect_list(F.struct("part", "probes", "blocks")).alias("hits"))
-    met = named.join(hits, ["doc_id", "_text"]).select("doc_id", "_text", "text", "hits")
-    gone = met.mapInArrow(_extend(parts), _ddl(_WINDOWS)).repartition(parts, "part").mapInArrow(_settle_windows, _ddl(_GONE))
-    gone = gone.groupBy("doc_id", "_text").agg(F.collect_list("places").alias("gone"))
-    every = named.join(gone, ["doc_id", "_text"], "left").select("doc_id", "text", "gone")
-    every = every.unionByName(docs.where("doc_id IS NULL").withColumn("gone", F.lit(None).cast("array<binary>")))
+    met = named.mapInArrow(_index(parts), _ddl(_BLOCKS_AND_PROBES)).repartition(parts, "part").mapInArrow(functools.partial(_meet, parts=parts), _ddl(_HITS))
+    hits = settle(met.repartition(parts, "bucket").mapInArrow(_hits_of_documents, _ddl(_DOC_HITS)), "anchors")
+    windows = named.join(hits, ["doc_id", "_text"]).select("doc_id", "_text", "text", "parts", "kinds", "ordinals").mapInArrow(_extend(parts), _ddl(_WINDOWS))
+    gone = windows.repartition(parts, "part").mapInArrow(functools.partial(_settle_windows, parts=parts), _ddl(_GONE))
+    gone = gone.repartition(parts, "bucket").mapInArrow(_runs_of_documents, _ddl(_DOC_GONE))
+    every = named.join(gone, ["doc_id", "_text"], "left").select("doc_id", "text", "runs")
+    every = every.unionByName(docs.where("doc_id IS NULL").withColumn("runs", F.lit(None).cast("binary")))
     return every.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, removed array<struct<first: long, end: long>>, kept string")
 
 
