@@ -27,14 +27,17 @@ MAX_BROADCAST = 50_000
 #: A fingerprint holds the hash's upper bits and the place in its lower ones.
 _PLACE = (1 << 26) - 1
 _REACH = SPAN - K
+#: Key of a document itself: with lower bits, unlike any fingerprint's.
+_OWN = 1
 
 
 def _fingerprints(words: str) -> str:
     """SQL for the distinct fingerprints of an array of words."""
     grams = ", ".join(f"get({words}, i + {o})" for o in range(K))
+    after = ", ".join(f"get(v, i + {o})" for o in range(1, _REACH + 1))  # the last windows are shorter
     return f"""CASE WHEN size({words}) >= {SPAN} THEN element_at(transform(
       array(transform(sequence(0, size({words}) - {K}), i -> (xxhash64({grams}) & {~_PLACE}L) | i)),
-      v -> array_distinct(transform(sequence(1, size(v) - {_REACH}), s -> array_min(slice(v, s, {_REACH + 1}))))), 1) END"""
+      v -> array_distinct(transform(v, (x, i) -> least(x, {after})))), 1) END"""
 
 
 def _around(words: str, at: str) -> str:
@@ -43,37 +46,47 @@ def _around(words: str, at: str) -> str:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs (with columns doc_id, text) to one row per document without an item (item_id
-    null, with n_words) and one per shared run: doc_id, _text (a hash), n_words, item_id,
-    first and end (word places in the document)."""
+    """docs (with columns doc_id, text) to rows doc_id, _text (a hash), n_words, item_id, first
+    and end (word places in the document): one per shared run, and one at least without an
+    item (item_id, first and end null) for every document."""
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", plain_words(F.col("text")).alias("iw")).distinct()
     words = docs.select("doc_id", F.xxhash64("text").alias("_text"), plain_words(F.col("text")).alias("w"))
     words = words.withColumn("n_words", F.size("w").cast("long"))
 
-    index = items.select("item_id", "iw", F.explode(F.expr(_fingerprints("iw"))).alias("v"))
+    index = items.withColumn("prints", F.expr(_fingerprints("iw"))).select("item_id", "iw", F.explode_outer("prints").alias("v")).where("v IS NOT NULL")
     index = index.select("item_id", F.col("v").bitwiseAND(~_PLACE).alias("key"), F.col("v").bitwiseAND(_PLACE).cast("int").alias("q"), "iw")
     index = index.select("item_id", "key", F.least("q", F.lit(_REACH)).alias("io"), F.expr(_around("iw", "q")).alias("ic"))
-    probes = words.select("doc_id", "_text", "n_words", "w", F.explode(F.array_append(F.coalesce(F.expr(_fingerprints("w")), F.array().cast("array<bigint>")), F.lit(None))).alias("v"))
-    probes = probes.select("doc_id", "_text", "n_words", "w", F.col("v").bitwiseAND(~_PLACE).alias("key"), F.col("v").bitwiseAND(_PLACE).cast("int").alias("p"))
+    # A column of their own, as exploding an expression of lambdas would copy the words for
+    # every row; and outer, as a plain explode gets a filter that computes them again.
+    probes = words.withColumn("prints", F.array_append(F.coalesce(F.expr(_fingerprints("w")), F.array().cast("array<bigint>")), F.lit(None)))
+    probes = probes.select("doc_id", "_text", "n_words", "w", F.explode_outer("prints").alias("v"))
+    # the last element, null, stands for the document itself; no fingerprint has its key
+    probes = probes.select("doc_id", "_text", "n_words", "w", F.coalesce(F.col("v").bitwiseAND(~_PLACE), F.lit(_OWN).cast("long")).alias("key"), F.col("v").bitwiseAND(_PLACE).cast("int").alias("p"))
     context = [F.least("p", F.lit(_REACH)).alias("do"), F.expr(_around("w", "p")).alias("dc")]
     if index.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        # the words around a probe are cut out only where it hits
-        found = probes.join(F.broadcast(index), "key", "left").where("item_id IS NOT NULL OR p IS NULL").select("doc_id", "_text", "n_words", "item_id", "p", "io", "ic", *context)
+        # An inner join, by which only hits leave the generated code that explodes: no row but
+        # theirs carries the words, and only there are the words around the place cut out.
+        own = docs.sparkSession.range(1).select(F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(_OWN).cast("long").alias("key"), F.lit(None).cast("int").alias("io"), F.lit(None).cast("array<string>").alias("ic"))
+        found = probes.join(F.broadcast(index.unionByName(own)), "key").select("doc_id", "_text", "n_words", "item_id", "p", "io", "ic", *context)
     else:
-        found = probes.select("doc_id", "_text", "n_words", "key", "p", *context).join(index, "key", "left").where("item_id IS NOT NULL OR p IS NULL")
-    # steps to the left and to the right over which both sides have the same words
-    side = "aggregate(sequence(1, {reach}), 0, (a, o) -> CASE WHEN a = o - 1 AND get(dc, do {op} o{k}) = get(ic, io {op} o{k}) THEN o ELSE a END)"
-    same = " AND ".join(f"get(dc, do + {o}) = get(ic, io + {o})" for o in range(K))
-    found = found.withColumns({
-        "_l": F.expr(f"CASE WHEN {same} THEN {side.format(reach=_REACH, op='-', k='')} END"),
-        "_r": F.expr(f"CASE WHEN {same} THEN {side.format(reach=_REACH, op='+', k=f' + {K - 1}')} END"),
-    }).where(f"p IS NULL OR _l + _r >= {_REACH}")
-    out = found.select("doc_id", "_text", "n_words", "item_id", F.expr("p - _l").alias("first"), F.expr(f"p + {K} + _r").alias("end"))
+        found = probes.where("p IS NOT NULL").select("doc_id", "_text", "n_words", "key", "p", *context).join(index, "key").drop("key")
+        found = found.unionByName(words.select("doc_id", "_text", "n_words"), allowMissingColumns=True)
+    # Steps to the left and to the right over which both sides have the same words. The words
+    # are bound by a lambda: a plain column would be cut out again at each mention.
+    side = "aggregate(sequence(1, {reach}), 0, (a, o) -> CASE WHEN a = o - 1 AND get(x.d, x.o {op} o{k}) = get(ic, io {op} o{k}) THEN o ELSE a END)"
+    same = " AND ".join(f"get(x.d, x.o + {o}) = get(ic, io + {o})" for o in range(K))
+    left, right = side.format(reach=_REACH, op="-", k=""), side.format(reach=_REACH, op="+", k=f" + {K - 1}")
+    # (two mentions of dc keep its projection in the generated code of the join)
+    run = f"""CASE WHEN size(dc) >= {K} THEN element_at(transform(array(named_struct('d', dc, 'o', do)), x -> CASE WHEN {same} THEN element_at(transform(array(named_struct('l', {left}, 'r', {right})),
+      y -> CASE WHEN y.l + y.r >= {_REACH} THEN named_struct('first', p - y.l, 'end', p + {K} + y.r) END), 1) END), 1) END"""
+    # no filter on runs: it would move into the join and take that out of generated code
+    found = found.withColumn("run", F.expr(run))
+    out = found.select("doc_id", "_text", "n_words", F.when(F.col("run").isNotNull(), F.col("item_id")).alias("item_id"), "run.first", "run.end")
 
     short = items.where(f"size(iw) BETWEEN 1 AND {SPAN - 1}").withColumn("m", F.size("iw"))
     lengths = sorted(r.m for r in short.select("m").distinct().collect())  # SPAN - 1 at most
     for m in lengths:
-        runs = words.where(F.size("w") >= m).select("doc_id", "_text", "n_words", "w", F.explode(F.sequence(F.lit(0), F.size("w") - m)).alias("p"))
+        runs = words.where(F.size("w") >= m).select("doc_id", "_text", "n_words", "w", F.explode_outer(F.sequence(F.lit(0), F.size("w") - m)).alias("p"))
         key = F.array_join(F.slice("w", F.col("p") + 1, F.lit(m)), " ")
         one = short.where(F.col("m") == m).select("item_id", F.array_join("iw", " ").alias("key"))
         one = F.broadcast(one) if one.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else one
