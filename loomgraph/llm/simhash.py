@@ -290,7 +290,8 @@ def dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     the smallest doc_id stays, once. Rows without a doc_id stay."""
     found = near_duplicates(docs, split)
     keep = settle(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-keep")
-    out = docs.where("doc_id IS NOT NULL").join(keep.select("doc_id"), "doc_id", "left_semi")
+    # merge: the ids grow with the documents, so no size of them is a bound to broadcast by
+    out = docs.where("doc_id IS NOT NULL").join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not keep.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
