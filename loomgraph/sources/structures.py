@@ -56,7 +56,7 @@ def parse_v2000(block: str) -> tuple[str, list[dict], list[dict]]:
 
 
 def parse_sdf(text: str, stem: str, source: str, name_property: str | None = None) -> Iterator[dict]:
-    records = [r.lstrip("\n") if r.startswith("\n") and i else r for i, r in enumerate(text.replace("\r\n", "\n").split("$$$$"))]
+    records = [r[1:] if i and r.startswith("\n") else r for i, r in enumerate(text.replace("\r\n", "\n").split("$$$$"))]
     for i, record in enumerate(r for r in records if r.strip()):
         try:
             title, atoms, bonds = parse_v2000(record)
