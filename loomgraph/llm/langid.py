@@ -155,6 +155,13 @@ class Model:
             self.keys[n], self.logp[n] = keys, np.log(lower).astype(np.float32)
             self.contexts[n], self.back[n] = contexts, np.log(back).astype(np.float32)
 
+    @classmethod
+    def restored(cls, state: dict) -> Model:
+        """From ``__dict__``: plain values, which executors can read without this module."""
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     @staticmethod
     def _orders(keys: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Counts of the highest order and, below it, continuation counts: in how many
@@ -226,10 +233,10 @@ def train(labelled: DataFrame) -> tuple[Model | None, dict[str, float]]:
         order = np.argsort(k)
         per.append((k[order], c[order]))
     model = Model(names, per)
-    bound = labelled.sparkSession.sparkContext.broadcast(model)
+    bound = labelled.sparkSession.sparkContext.broadcast(model.__dict__)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = bound.value
+        m = Model.restored(bound.value)
         for b in batches:
             texts, lang = b.column("text").to_pylist(), b.column("lang").to_pylist()
             for s, e in _runs(texts):
@@ -239,13 +246,14 @@ def train(labelled: DataFrame) -> tuple[Model | None, dict[str, float]]:
                 ok = (c >= 20) & np.isfinite(h)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(lang[s:e], object)[ok], pa.string()), pa.array(h[ok])], ["lang", "h"])
 
-    # a bounded sample of the training texts is enough for a mean and a deviation
-    sample = labelled.limit(CALIBRATION_ROWS)
+    # a bounded sample of the training texts is enough for a mean and a deviation; drawn in
+    # place, as a limit would move that many rows of every partition
+    sample = labelled.sample(min(1.0, CALIBRATION_ROWS / max(labelled.count(), 1)), seed=1)
     stats = sample.mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("m"), F.coalesce(F.stddev_pop("h"), F.lit(0.0)).alias("s")).collect()
     return model, {r.lang: r.m + REJECT_SDS * r.s + REJECT_MARGIN for r in stats}
 
 
-#: Labelled texts that set the thresholds of rejection, at most.
+#: Labelled texts that set the thresholds of rejection, about.
 CALIBRATION_ROWS = 5_000
 
 
@@ -255,11 +263,12 @@ def identify(docs: DataFrame, model: Model | None, limits: dict[str, float]) ->
     docs = docs.select(*keep)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
-    bound = docs.sparkSession.sparkContext.broadcast((model, limits))
+    bound = docs.sparkSession.sparkContext.broadcast((model.__dict__, limits))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, most = bound.value
+        state, most = bound.value
+        m = Model.restored(state)
         worst = np.array([most.get(x, np.inf) for x in m.languages])
         for b in batches:
             texts = b.column(keep.index("text")).to_pylist()
