@@ -152,6 +152,16 @@ def parse(html: str) -> tuple[list[Block], Counter]:
     return blocks, paths
 
 
+#: Elements that hold a line of text; what holds those is the place of a text.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre caption figcaption summary address".split())
+
+
+def _place(path: str) -> str:
+    while path.rpartition("/")[2] in LINES:
+        path = path.rpartition("/")[0]
+    return path
+
+
 def role(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}".encode()) - (1 << 63)
 
@@ -163,7 +173,7 @@ def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, page_html in zip(b.column("host").to_pylist(), b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
             blocks, paths = parse(page_html or "")
             counts = {(role(p), role(p.rpartition("/")[0]), False): n for p, n in paths.items()}
-            counts |= {(role(p, t), role(p), True): n for (p, t), n in Counter((x.path, x.text) for x in blocks).items()}
+            counts |= {(role(p, t), role(_place(p)), True): n for (p, t), n in Counter((x.path, x.text) for x in blocks).items()}
             for (own, parent, is_text), n in counts.items():
                 out.append((host, own, parent, is_text, (xxhash.xxh64_intdigest(f"{page}:{n}".encode()) >> 8) - (1 << 55), n))
         yield pa.RecordBatch.from_pylist([dict(zip(("host", "role", "parent", "is_text", "vec", "n"), x, strict=True)) for x in out], schema=pa.schema([("host", pa.string()), ("role", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("vec", pa.int64()), ("n", pa.int64())]))

@@ -32,13 +32,13 @@ class Rule:
 
 
 #: The last four reject nothing that reads like prose: word lengths of natural languages,
-#: less than a symbol in every second word, few repeated lines.
+#: a symbol in every fourth word at most, few repeated lines.
 RULES = (
     Rule("few_words", "n_words < 50", ("n_words",)),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words", ("n_repeat_words", "n_words")),
     Rule("short_words", "word_chars < 2 * n_words", ("word_chars", "n_words")),
     Rule("long_words", "word_chars > 20 * n_words", ("word_chars", "n_words")),
-    Rule("symbols", "2 * n_symbols > n_words", ("n_symbols", "n_words")),
+    Rule("symbols", "4 * n_symbols > n_words", ("n_symbols", "n_words")),
     Rule("repeated_lines", "n_dup_lines > 10 AND 2 * n_dup_lines > n_lines", ("n_dup_lines", "n_lines")),
 )
 BASE = ("few_words", "repeated_windows")
@@ -140,6 +140,6 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-    OR 2 * n_symbols > n_words OR (n_dup_lines > 10 AND 2 * n_dup_lines > n_lines)) AS kept
+    OR 4 * n_symbols > n_words OR (n_dup_lines > 10 AND 2 * n_dup_lines > n_lines)) AS kept
 FROM s
 """
