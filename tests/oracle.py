@@ -17,7 +17,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def text(v) -> str:
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT") or v != v:
         return "null"
     if isinstance(v, float) or type(v).__name__.startswith(("float", "Decimal")):
         return f"{float(v):.9g}"
