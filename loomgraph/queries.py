@@ -441,7 +441,7 @@ def _(s, d):
 def _(s, d):
     t = V.trade(s, d)
     c = t.select(KEY, F.lit(0).alias("cand_ord"), F.col("u").alias("source"), F.col("v").alias("target"), F.col("weight").alias("total"), F.lit(True).alias("feasible"))
-    return planners.plan(V.nations(s, d), c, NetworkOptions(edges_per_ligand=1, min_cycle_coverage=0)).selected.select(KEY, "u", "v", _r("total").alias("weight"))
+    return planners.plan(V.nations(s, d), c, NetworkOptions(edges_per_ligand=1, min_cycle_coverage=0, require_connected=False)).selected.select(KEY, "u", "v", _r("total").alias("weight"))
 
 
 _BRIDGES = f"""WITH RECURSIVE {V.SPARSE}, e AS (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY u, v) AS r FROM sparse),
@@ -571,9 +571,10 @@ def _(s, d):
     return design.allocation(design.per_edge(V.nations(s, d), _sigmas(s, d), 100.0))
 
 
-@query("j07_foster_identity", f"WITH {V.TRADE} SELECT campaign, 24.0::DOUBLE AS total FROM (SELECT DISTINCT campaign FROM trade)")
+@query("j07_foster_identity", f"""WITH RECURSIVE {V.NATIONS}, arcs AS (SELECT campaign, u AS a, v AS b FROM trade UNION SELECT campaign, v, u FROM trade), reach AS (SELECT campaign, name AS a, name AS b FROM nations UNION SELECT r.campaign, r.a, arcs.b FROM reach r JOIN arcs ON r.campaign = arcs.campaign AND r.b = arcs.a),
+ comp AS (SELECT campaign, a, min(b) AS c FROM reach GROUP BY campaign, a) SELECT campaign, CAST(count(*) - count(DISTINCT c) AS DOUBLE) AS total FROM comp GROUP BY campaign""")
 def _(s, d):
-    """Resistance times weight adds up to one less than the number of vertices."""
+    """Resistance times weight adds up to the number of vertices less that of components."""
     e = design.per_edge(V.nations(s, d), _sigmas(s, d))
     return e.groupBy(KEY).agg(_r(F.sum(F.col("resistance") / (F.col("sigma") * F.col("sigma"))), 6).alias("total"))
 
