@@ -8,11 +8,13 @@ campaign, parallel across campaigns.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import selection as S
@@ -22,14 +24,21 @@ from loomgraph.operators.pairs import KEY, fresh
 def settle(df: DataFrame) -> DataFrame:
     """Writes a round's table to the shared folder (spark.checkpoint.dir, else one beside the
     warehouse) and reads it back, so that a loop's plan doesn't grow and lost executors cost
-    one round."""
+    one round. The folder goes when the driver ends."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def normal(edges: DataFrame) -> DataFrame:
     """Edges with u < v, each once, without loops."""
     return edges.select(KEY, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
