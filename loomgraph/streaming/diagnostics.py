@@ -19,7 +19,7 @@ from loomgraph.operators.pairs import KEY
 def edge_values(results: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """results (campaign, ts, source, target, value) to (window, campaign, u, v, lmi, n): the mean
     per edge and window; results later than ``late`` are left out."""
-    named = results.withColumns({"u": F.least("source", "target"), "v": F.greatest("source", "target")})
+    named = results.withColumns({"ts": F.col("ts").cast("timestamp"), "u": F.least("source", "target"), "v": F.greatest("source", "target")})
     return named.withWatermark("ts", late).groupBy(F.window("ts", window), KEY, "u", "v").agg(F.avg("value").alias("lmi"), F.count("*").alias("n"))
 
 
