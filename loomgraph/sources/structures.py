@@ -123,3 +123,29 @@ def _order():
     from pyspark.sql import Window
 
     return Window.partitionBy(KEY).orderBy("source", "ord")
+
+
+def to_v2000(name: str, atoms: list[dict], bonds: list[dict]) -> str:
+    """One SDF record."""
+    head = f"{name}\n  loomgraph\n\n{len(atoms):3d}{len(bonds):3d}  0  0  0  0  0  0  0  0999 V2000\n"
+    body = "".join(f"{a['x']:10.4f}{a['y']:10.4f}{a['z']:10.4f} {SYMBOLS[a['elem'] - 1]:<3}{0:2d}{0:3d}\n" for a in atoms)
+    ties = "".join(f"{b['a'] + 1:3d}{b['b'] + 1:3d}{4 if b['order'] == 1.5 else int(b['order']):3d}  0\n" for b in bonds)
+    charged = [(a["idx"] + 1, a["charge"]) for a in atoms if a["charge"]]
+    lines = "".join(f"M  CHG{len(part):3d}" + "".join(f"{i:4d}{q:4d}" for i, q in part) + "\n" for part in (charged[k : k + 8] for k in range(0, len(charged), 8)))
+    return f"{head}{body}{ties}{lines}M  END\n$$$$\n"
+
+
+def sdf_records(vertices: DataFrame) -> DataFrame:
+    """(campaign, name, value): a record per vertex, to be written as text by Spark."""
+    kind = vertices.schema[KEY].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(getattr(r, KEY), r.name, to_v2000(r.name, _dicts(r.atoms), _dicts(r.bonds))) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[KEY, "name", "value"])
+
+    return vertices.select(KEY, "name", "atoms", "bonds").mapInPandas(run, f"{KEY} {kind}, name string, value string")
+
+
+def _dicts(xs) -> list[dict]:
+    return [x if isinstance(x, dict) else x.asDict() for x in xs]

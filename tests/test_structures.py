@@ -181,3 +181,51 @@ def test_edge_lists_and_writers(spark):
     assert '"schema_version":1' in doc and '"message":"m"' in doc
     named = spark.createDataFrame([(["a", "b"], ["x", "c"], ["a"], ["q"])], "core_names_1 array<string>, soft_names_1 array<string>, core_names_2 array<string>, soft_names_2 array<string>")
     assert writers.masks(named).first().source_mask == ":SRC&@c,x"
+
+
+def test_records_round_trip(spark, tmp_path):
+    from loomgraph.sources.structures import parse_v2000, read_structures, sdf_records
+
+    atoms = [(0, 6, "C1", 0.0, 1.5, -2.25, 0, False), (1, 8, "O2", 1.0, 0.0, 0.5, -1, False), (2, 17, "CL3", 3.0, 0.0, 0.0, 0, False)]
+    bonds = [(0, 1, 1.0, False), (0, 2, 1.0, False)]
+    v = spark.createDataFrame([("c", "m", atoms, bonds)], "campaign string, name string, atoms array<struct<idx: int, elem: int, name: string, x: double, y: double, z: double, charge: int, aromatic: boolean>>, bonds array<struct<a: int, b: int, order: double, in_ring: boolean>>")
+    text = sdf_records(v).first().value
+    name, got, ties = parse_v2000(text)
+    assert name == "m" and [(a["elem"], a["charge"], a["x"]) for a in got] == [(6, 0, 0.0), (8, -1, 1.0), (17, 0, 3.0)] and len(ties) == 2
+    (tmp_path / "m.sdf").write_text(text)
+    assert read_structures(spark, str(tmp_path)).first().charge == -1
+
+
+def test_augmenting_gaps():
+    from loomgraph.plans.options import IntermediateOptions
+
+    def generate(a, b):
+        return "too far apart" if a == "x" else [(f"int_{a}_{b}", "same" if b in ("b", "c") else b, None)]
+
+    def evaluate(new, pairs):
+        return {p: 1.0 for p in pairs if "d" not in p}
+
+    vertices, edges, attempts = I.augment([("a", "b"), ("a", "c"), ("x", "y"), ("a", "d")], generate, evaluate, lambda a, b: False, IntermediateOptions(mode="gaps"))
+    assert [v[0] for v in vertices] == ["int_a_b"]  # the second gap asks for the same structure
+    assert [x.accepted for x in attempts] == [True, True, False, False] and attempts[2].reason == "too far apart"
+    assert ("a", "int_a_b") in edges and ("c", "int_a_b") in edges and ("a", "d") not in edges
+    assert I.augment([("a", "b")], generate, evaluate, lambda a, b: True, IntermediateOptions(mode="bridge")) == ([], {}, [])
+    capped = I.augment([("a", "b"), ("a", "e")], generate, evaluate, lambda a, b: False, IntermediateOptions(mode="gaps", max_intermediates=1))
+    assert [x.accepted for x in capped[2]] == [True, False]
+
+
+def test_cache_evaluates_only_what_is_new(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.adaptive import with_cache
+
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "source string, target string")
+    seen = []
+
+    def evaluate(df):
+        seen.append(df.count())
+        return df.withColumn("total", F.lit(1.0))
+
+    first = with_cache(pairs.limit(1), None, ["source", "target"], evaluate)
+    both = with_cache(pairs, first, ["source", "target"], evaluate)
+    assert both.count() == 2 and seen == [1, 1]
