@@ -57,11 +57,11 @@ def build(vertices: DataFrame, options: NetworkOptions | None = None, mapper: st
         empty = vertices.select(KEY, F.lit(0).alias("cand_ord"), F.col("name").alias("source"), F.col("name").alias("target"), F.lit(0.0).alias("total"), F.lit(False).alias("feasible")).limit(0)
         p = planners.plan(vertices, empty, options, planner)
         return Network(vertices, empty, p.selected, p.unmet)
-    pairs = P.candidates(vertices, options).repartition(KEY, "source", "target")
+    pairs = P.candidates(vertices, options)
     mapped = G.settle(evaluate(pairs, vertices, mapper, mapping_options, options.softcore))
     candidates = G.settle(score_candidates(mapped, vertices, options, scorer, weights))
-    p = planners.plan(vertices, candidates, options, planner)
-    edges = G.settle(p.selected)
+    p = planners.plan(vertices, candidates, options, planner).settled()
+    edges = p.selected
     sides = candidates.select(KEY, "source", "target", "n_sc_1", "n_sc_2")
     oriented = planners.orient(edges.join(sides, [KEY, "source", "target"], "left"), vertices, options.edge_direction)
     return Network(vertices, candidates, oriented, p.unmet)

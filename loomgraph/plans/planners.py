@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import design as D
+from loomgraph.operators import graph as G
 from loomgraph.operators import selection as S
 from loomgraph.operators.clustering import average_linkage, group_numbers
 from loomgraph.operators.pairs import KEY, fresh
@@ -33,6 +34,10 @@ class Plan:
     selected: DataFrame
     unmet: DataFrame
 
+    def settled(self) -> Plan:
+        """The plan as written tables: both come from one map, which would run for each use."""
+        return Plan(G.settle(self.selected), G.settle(self.unmet))
+
 
 def best_by_pair(candidates: DataFrame, options: NetworkOptions | None = None) -> DataFrame:
     """The cheapest feasible orientation of every unordered pair, the first seen on ties,

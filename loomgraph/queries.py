@@ -120,7 +120,7 @@ def _(s, d):
     return surgery.validate(V.nations(s, d), bad, require_connected=False)
 
 
-@query("c17_mapping_complement", f"""WITH {V.PART_PAIRS} SELECT campaign, source, target, core AS n_core, n_heavy_1 - core AS n_soft_1, n_heavy_2 - core AS n_soft_2, CASE WHEN n_heavy_1 > core THEN core END AS first_soft_1, NULL AS problem FROM pp""")
+@query("c17_mapping_complement", f"""WITH {V.PART_PAIRS} SELECT campaign, source, target, core AS n_core, n_heavy_1 - core AS n_soft_1, n_heavy_2 - core AS n_soft_2, CASE WHEN n_heavy_1 > core THEN core END AS first_soft_1, CAST(NULL AS VARCHAR) AS problem FROM pp""")
 def _(s, d):
     c = F.col
     core = F.when(c("core") > 0, F.sequence(F.lit(0), (c("core") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
