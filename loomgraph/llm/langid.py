@@ -2,11 +2,12 @@
 
 One model of order ORDER per language, over texts in which case is folded, marks within
 words stay, and any run of other characters is one space. The counts of all training texts
-are summed by Spark (per task first, then by n-gram); of each language the most frequent
-n-grams make the model (MAX_GRAMS, or its share of MAX_ROWS if there are many languages), a
-bound that keeps it small enough to broadcast whatever the corpus. Models are flat: for every n-gram that any language has, a row of
-log-probabilities of all languages, found by binary search in a sorted array of 64-bit
-keys; n-grams that none has back off to the next lower order.
+are summed by Spark (per task first, then by n-gram), and Spark makes the model of all of
+them: continuation counts, context totals, discounts and probabilities are joins and
+windows. The model is written to the shared folder as sorted arrays, in shards by key that
+hold about SHARD_ROWS rows each; tasks map the files into memory and look up by binary
+search. Nothing of it is gathered by the driver but the names of the files. An n-gram that
+a language lacks backs off to the next lower order of that language.
 
 The language with the lowest cross-entropy per character wins. The score is its posterior
 against the others, with the evidence of a long text limited so that scores stay
@@ -22,21 +23,26 @@ pass through (columns of the result's names are replaced).
 
 from __future__ import annotations
 
+import atexit
+import functools
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import settle, table
+from loomgraph.llm.common import _remove, scratch_dir, settle, table
 
 ORDER, DISCOUNT = 4, 0.75
-#: N-grams of the highest order that a language's model and all models hold at most.
-MAX_GRAMS, MAX_ROWS = 150_000, 1_000_000
+#: N-grams of a language that a task sums up before it hands them on, and rows of a shard of
+#: the model, about. Neither leaves anything out.
+HELD_GRAMS, SHARD_ROWS = 600_000, 1_000_000
 #: Characters of evidence that a score takes into account at most.
 EVIDENCE = 40.0
 REJECT_SDS, REJECT_MARGIN = 6.0, 1.5
@@ -112,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.setdefault(lang, []).append(tuple(np.unique(g, return_counts=True)))
                     if len(held[lang]) > 8:
                         held[lang] = [merged(lang)]
-                        if len(held[lang][0][0]) > 4 * MAX_GRAMS:
+                        if len(held[lang][0][0]) > HELD_GRAMS:
                             yield from out(lang)
     for lang in sorted(held):
         if held[lang]:
@@ -120,48 +126,55 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log-probabilities in sorted arrays: ``keys[n]`` and ``logp[n]`` (a column for each
-    language) of the n-grams, ``back[n]`` the log weights of contexts of n characters."""
+    """Log-probabilities of n-grams, ``tables[n]``, and log weights of contexts that n-grams
+    begin with, ``tables[-n]``: lists of shards (keys, languages, values) with a row for each
+    language that has the key, sorted by key. A model that Spark made has ``files`` of those,
+    (table, path), that are opened where it is restored."""
 
     def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.languages = languages
-        self.keys: dict[int, np.ndarray] = {}
-        self.logp: dict[int, np.ndarray] = {}
-        self.contexts: dict[int, np.ndarray] = {}
-        self.back: dict[int, np.ndarray] = {}
+        """In memory, of sorted n-grams and their counts for each language."""
+        self.languages, self.files = languages, []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         per_lang = [self._orders(k, c) for k, c in counts]
-        width = len(languages)
         alphabet = max(2, len(np.unique(np.concatenate([o[1][0] for o in per_lang]))) + 1)
-        lower = None
-        for n in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([o[n][0] for o in per_lang]))
-            contexts = np.unique(keys >> _U(16)) if n > 1 else np.zeros(1, _U)
-            p, back = np.zeros((len(keys), width)), np.ones((len(contexts), width))
-            for j, o in enumerate(per_lang):
+        self.floor = np.zeros(len(languages))
+        for j, o in enumerate(per_lang):
+            lower = None
+            for n in range(1, ORDER + 1):
                 k, c = o[n]
-                at = np.searchsorted(contexts, k >> _U(16) if n > 1 else np.zeros(len(k), _U))
-                total, types = np.bincount(at, c, len(contexts)), np.bincount(at, minlength=len(contexts))
-                seen = total > 0
-                back[seen, j] = DISCOUNT * types[seen] / total[seen]
-                p[np.searchsorted(keys, k), j] = np.maximum(c - DISCOUNT, 0) / total[at]
-            own = np.searchsorted(contexts, keys >> _U(16)) if n > 1 else np.zeros(len(keys), np.int64)
-            if n == 1:
-                below = np.full((len(keys), width), 1.0 / alphabet)
-                self.floor = np.log(back[0] / alphabet)
-            else:
-                mask = _U((1 << (16 * (n - 1))) - 1)
-                below = lower[np.searchsorted(self.keys[n - 1], keys & mask)]
-            lower = p + back[own] * below
-            self.keys[n], self.logp[n] = keys, np.log(lower).astype(np.float32)
-            self.contexts[n], self.back[n] = contexts, np.log(back).astype(np.float32)
+                contexts, at = np.unique(k >> _U(16) if n > 1 else np.zeros(len(k), _U), return_inverse=True)
+                total, types = np.bincount(at, c), np.bincount(at)
+                back = DISCOUNT * types / total
+                if n == 1:
+                    below = 1.0 / alphabet
+                    self.floor[j] = np.log(back[0] / alphabet)
+                else:
+                    below = lower[np.searchsorted(o[n - 1][0], k & _U((1 << (16 * (n - 1))) - 1))]
+                lower = np.maximum(c - DISCOUNT, 0) / total[at] + back[at] * below
+                for t, x, v in ((n, k, lower), (-n, contexts, back)):
+                    found.setdefault(t, []).append((x, np.full(len(x), j, np.int32), np.log(v).astype(np.float32)))
+        self.tables = {}
+        for t, parts in found.items():
+            keys, lang, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            self.tables[t] = [(keys[order], lang[order], values[order])]
 
     @classmethod
     def restored(cls, state: dict) -> Model:
         """From ``__dict__``: plain values, which executors can read without this module."""
         out = cls.__new__(cls)
         out.__dict__.update(state)
+        if out.files:
+            out.tables = {}
+            for t, path in out.files:
+                out.tables.setdefault(t, []).append(_open(path))
         return out
 
+    def on(self, files: list[tuple[int, str]]) -> Model:
+        """This model with its tables in files, not opened yet."""
+        self.files = files
+        return self
+
     @staticmethod
     def _orders(keys: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Counts of the highest order and, below it, continuation counts: in how many
@@ -172,24 +185,35 @@ class Model:
             out[n] = (k, c.astype(np.float64))
         return out
 
+    def _fill(self, t: int, keys: np.ndarray, out: np.ndarray) -> None:
+        """Puts what table t has of the keys (sorted, distinct) into rows of ``out``."""
+        for have, lang, value in self.tables.get(t, ()):
+            s, e = int(np.searchsorted(keys, have[0])), int(np.searchsorted(keys, have[-1], "right"))
+            if s == e:
+                continue
+            lo = np.searchsorted(have, keys[s:e])
+            n = np.searchsorted(have, keys[s:e], "right") - lo
+            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            out[np.repeat(np.arange(s, e), n), lang[at]] = value[at]
+
     def _look(self, keys: np.ndarray, n: int) -> np.ndarray:
-        """Rows of log-probabilities for distinct n-grams, backing off where none has them."""
+        """Rows of log-probabilities for sorted, distinct n-grams; where a language lacks one
+        it backs off."""
         if n == 0:
             return np.tile(self.floor, (len(keys), 1))
-        have = self.keys[n]
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        found = have[at] == keys
-        out = np.empty((len(keys), len(self.languages)))
-        out[found] = self.logp[n][at[found]]
-        if not found.all():
-            missing = keys[~found]
-            if n == 1:
-                out[~found] = self.floor
-            else:
-                context = missing >> _U(16)
-                c = np.minimum(np.searchsorted(self.contexts[n], context), len(self.contexts[n]) - 1)
-                weight = np.where((self.contexts[n][c] == context)[:, None], self.back[n][c], 0.0)
-                out[~found] = weight + self._look(missing & _U((1 << (16 * (n - 1))) - 1), n - 1)
+        out = np.full((len(keys), len(self.languages)), np.nan)
+        self._fill(n, keys, out)
+        gaps = np.isnan(out)
+        rows = np.flatnonzero(gaps.any(axis=1))
+        if len(rows):
+            lower, at = np.unique(keys[rows] & _U((1 << (16 * (n - 1))) - 1), return_inverse=True)
+            below = self._look(lower, n - 1)[at]
+            if n > 1:
+                contexts, at = np.unique(keys[rows] >> _U(16), return_inverse=True)
+                weight = np.zeros((len(contexts), len(self.languages)))
+                self._fill(-n, contexts, weight)
+                below += weight[at]
+            out[rows] = np.where(gaps[rows], below, out[rows])
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,25 +238,87 @@ class Model:
             return -sums / counts[:, None], counts
 
 
+def _local(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def _open(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard, mapped into memory where the shared folder is a file system."""
+    store, at = _local(path)
+    rows = pa.ipc.open_file(pa.memory_map(at) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(at)).get_batch(0)
+    return tuple(rows.column(i).to_numpy() for i in range(3))
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes sorted rows (t, key, lang, value) as a shard for each table t; a task that is
+    run again writes files of other names. Keys come with the first bit turned, which sorts
+    signed numbers as unsigned ones."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    t, key, lang, value = (rows.column(i).to_numpy() for i in range(4))
+    key = key.view(_U) ^ _U(1 << 63)
+    cuts = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+    store, at = _local(folder)
+    store.create_dir(at, recursive=True)
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        name = f"{uuid.uuid4().hex}.arrow"
+        part = pa.RecordBatch.from_arrays([pa.array(key[s:e]), pa.array(lang[s:e]), pa.array(value[s:e])], ["key", "lang", "value"])
+        with store.open_output_stream(f"{at}/{name}") as out, pa.ipc.new_file(out, part.schema) as file:
+            file.write_batch(part)
+        yield pa.RecordBatch.from_arrays([pa.array([int(t[s])], pa.int32()), pa.array([name])], ["t", "name"])
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """The model of all labelled (text, lang); none if there is no n-gram. Rows of null lang
+    are left out."""
+    labelled = labelled.where(F.col("lang").isNotNull()).select("lang", "text")
+    spark = labelled.sparkSession
+    counts = settle(labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid")
+    names = sorted((r.lang for r in counts.select("lang").distinct().collect()), key=lambda x: x.encode())
+    if not names:
+        return None
+    lang = (F.array_position(F.lit(names), F.col("lang")) - 1).cast("int")
+    orders = {ORDER: counts.select(lang.alias("lang"), "gram", F.col("n").cast("double").alias("n"))}
+    for n in range(ORDER - 1, 0, -1):
+        short = F.col("gram").bitwiseAND(F.lit((1 << (16 * n)) - 1)).alias("gram")
+        orders[n] = settle(orders[n + 1].groupBy("lang", short).agg(F.count("*").cast("double").alias("n")), "langid-order")
+    alphabet = float(max(2, orders[1].select("gram").distinct().count() + 1))
+    lower, tables, floor = None, [], {}
+    for n in range(1, ORDER + 1):
+        around = Window.partitionBy("lang", "context")
+        rows = orders[n].withColumn("context", F.shiftrightunsigned("gram", 16))
+        rows = rows.withColumn("total", F.sum("n").over(around)).withColumn("back", DISCOUNT * F.count("*").over(around) / F.col("total"))
+        if n == 1:
+            rows = rows.withColumn("below", F.lit(1.0 / alphabet))
+        else:
+            rows = rows.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << (16 * (n - 1))) - 1))).join(lower.select("lang", F.col("gram").alias("short"), F.col("p").alias("below")), ["lang", "short"])
+        rows = settle(rows.select("lang", "gram", "context", "back", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("back") * F.col("below")).alias("p")), "langid-p")
+        lower = rows
+        if n == 1:
+            floor = {r.lang: r.back / alphabet for r in rows.groupBy("lang").agg(F.first("back").alias("back")).collect()}
+        for t, key, value in ((n, "gram", "p"), (-n, "context", "back")):
+            part = rows.select(F.lit(t).alias("t"), F.col(key).bitwiseXOR(F.lit(-(1 << 63))).alias("key"), "lang", F.log(value).cast("float").alias("value"))
+            tables.append(part if t > 0 else part.distinct())
+    every = functools.reduce(DataFrame.unionByName, tables)
+    shards = -(-2 * counts.count() // SHARD_ROWS)
+    folder = f"{scratch_dir(spark)}/langid-model-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    files = every.repartitionByRange(shards, "t", "key").sortWithinPartitions("t", "key", "lang").mapInArrow(lambda b: _write(b, folder), "t int, name string").collect()
+    return Model.restored({"languages": names, "floor": np.log([floor[j] for j in range(len(names))]), "files": [], "tables": {}}).on([(r.t, f"{folder}/{r.name}") for r in files])
+
+
 def train(labelled: DataFrame) -> tuple[Model | None, dict[str, float]]:
     """The model of labelled (text, lang), and per language the cross-entropy beyond which
     a text is rejected. Rows of null lang are left out."""
     labelled = labelled.where(F.col("lang").isNotNull()).select("lang", "text")
-    counts = settle(labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    n_langs = counts.select("lang").distinct().count()
-    rows = counts.withColumn("_r", rank).where(F.col("_r") <= min(MAX_GRAMS, MAX_ROWS // max(n_langs, 1))).drop("_r").orderBy("lang", "gram").toArrow()
-    langs = np.array(rows.column("lang").to_pylist(), object)
-    names = sorted(set(langs.tolist()), key=lambda x: x.encode())
-    if not names:
+    model = fit(labelled)
+    if model is None:
         return None, {}
-    gram, n = rows.column("gram").to_numpy().view(_U), rows.column("n").to_numpy()
-    per = []
-    for x in names:
-        k, c = gram[langs == x], n[langs == x]
-        order = np.argsort(k)
-        per.append((k[order], c[order]))
-    model = Model(names, per)
     bound = labelled.sparkSession.sparkContext.broadcast(model.__dict__)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -286,3 +286,20 @@ def test_probabilities_add_up():
         keys = np.array([head << 16 | c for c in alphabet], np.uint64)
         total = np.exp(m._look(keys, 4)[:, 0]).sum()
         assert 0.9 < total <= 1.0 + 1e-6  # the rest is left to characters never seen
+
+
+def test_the_language_model_holds_every_ngram(spark):
+    r = random.Random(11)
+    # a large alphabet, half of it above 0x8000: more than 150,000 n-grams of one language
+    rows = [("zh", "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(1000))) for _ in range(200)] + [("en", "the cat sat on the mat " * 5)]
+    model, _ = langid.train(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    per = []
+    for lang in ("en", "zh"):
+        codes, begins = langid._codes([t for x, t in rows if x == lang])
+        per.append(tuple(np.unique(langid._grams(codes, 4)[langid._inside(begins, 4, len(codes))], return_counts=True)))
+    want, got = langid.Model(["en", "zh"], per), langid.Model.restored(model.__dict__)
+    assert got.languages == want.languages and sum(len(x[0]) for x in got.tables[4]) == sum(len(k) for k, _ in per) > 150_000
+    for n in (1, 2, 3, 4):
+        keys = np.unique(np.concatenate([k for k, _ in per]) & np.uint64((1 << 16 * n) - 1))
+        assert np.allclose(got._look(keys, n), want._look(keys, n), atol=1e-5)
+    assert np.allclose(got.floor, want.floor)
