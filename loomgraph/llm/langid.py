@@ -12,8 +12,8 @@ a language lacks backs off to the next lower order of that language.
 The language with the lowest cross-entropy per character wins. The score is its posterior
 against the others, with the evidence of a long text limited so that scores stay
 calibrated. A text is rejected if its cross-entropy is far above that of the language's own
-training texts (mean plus REJECT_SDS standard deviations and REJECT_MARGIN), or if it has
-no letter.
+training texts (mean plus REJECT_SDS standard deviations, over all of them, and
+REJECT_MARGIN), or if it has no letter.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0 and rejected; ties go
 to the first language in code point order; repeated rows are judged one by one; with no
@@ -332,15 +332,25 @@ def train(labelled: DataFrame) -> tuple[Model | None, dict[str, float]]:
                 ok = (c >= 20) & np.isfinite(h)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(lang[s:e], object)[ok], pa.string()), pa.array(h[ok])], ["lang", "h"])
 
-    # a bounded sample of the training texts is enough for a mean and a deviation; drawn in
-    # place, as a limit would move that many rows of every partition
-    sample = labelled.sample(min(1.0, CALIBRATION_ROWS / max(labelled.count(), 1)), seed=1)
-    stats = sample.mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.avg("h").alias("m"), F.coalesce(F.stddev_pop("h"), F.lit(0.0)).alias("s")).collect()
-    return model, {r.lang: r.m + REJECT_SDS * r.s + REJECT_MARGIN for r in stats}
+    stats = labelled.mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.count("h").alias("n"), F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).collect()
+    return model, _limits(model.languages, {r.lang: (r.n, r.m, r.s) for r in stats})
 
 
-#: Labelled texts that set the thresholds of rejection, about.
-CALIBRATION_ROWS = 5_000
+def _limits(languages: list[str], stats: dict[str, tuple[int, float, float]]) -> dict[str, float]:
+    """Thresholds by (number, mean, deviation) of the entropies of each language's texts. One
+    text has no deviation and a language without a scored text has no mean: they take those
+    of all texts, each about the mean of its own language and of all languages."""
+    out: dict[str, float] = {}
+    if not stats:
+        return out
+    total = sum(n for n, _, _ in stats.values())
+    within = (sum(n * s * s for n, _, s in stats.values()) / total) ** 0.5
+    mean = sum(n * m for n, m, _ in stats.values()) / total
+    spread = (within**2 + sum(n * (m - mean) ** 2 for n, m, _ in stats.values()) / total) ** 0.5
+    for x in languages:
+        n, m, s = stats.get(x, (0, mean, spread))
+        out[x] = m + REJECT_SDS * (within if n == 1 else s) + REJECT_MARGIN
+    return out
 
 
 def identify(docs: DataFrame, model: Model | None, limits: dict[str, float]) -> DataFrame:
@@ -386,6 +396,6 @@ def is_held_out(doc_id: int) -> bool:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, limits = train(docs.where(~F.coalesce(held_out(), F.lit(False))).select("lang", "text"))
-    out = identify(docs.select("doc_id", "text"), model, limits)
+    model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))).select("lang", "text"))
+    out = identify(docs.select("doc_id", "text"), model, {})  # no column tells of rejections
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -303,3 +303,18 @@ def test_the_language_model_holds_every_ngram(spark):
         keys = np.unique(np.concatenate([k for k, _ in per]) & np.uint64((1 << 16 * n) - 1))
         assert np.allclose(got._look(keys, n), want._look(keys, n), atol=1e-5)
     assert np.allclose(got.floor, want.floor)
+
+
+def test_rare_languages_have_thresholds_of_all_their_texts(spark):
+    r = random.Random(2)
+    rows = [("en", " ".join(r.choice(["the", "and", "there", "nation"]) for _ in range(20))) for _ in range(12_000)]
+    rows += [("ru", " ".join(r.choice(["это", "как", "его", "или"]) for _ in range(n))) for n in (9, 30, 80)] + [("el", "και το της από με για δεν είναι"), ("ja", "短い文")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    model, limits = langid.train(docs)
+    assert set(limits) == {"en", "ru", "el", "ja"}
+    m = langid.Model.restored(model.__dict__)
+    for lang in ("en", "ru"):
+        h = m.entropies([t for x, t in rows if x == lang])[0][:, m.languages.index(lang)]
+        assert limits[lang] == pytest.approx(h.mean() + langid.REJECT_SDS * h.std() + langid.REJECT_MARGIN)
+    assert limits["el"] > m.entropies([rows[-2][1]])[0][0, m.languages.index("el")] + langid.REJECT_MARGIN
+    assert np.isfinite(limits["ja"])
