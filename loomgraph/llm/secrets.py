@@ -1,11 +1,12 @@
 """Secret scans with a random forest against false positives (operator 2), in DataFrame
 and SQL functions only.
 
-Candidates are found by pattern: runs of 16 or more key characters that hold a digit, and
-quoted values that are assigned to something. A forest, trained on labelled findings,
-judges each one by its length, character transitions and mix, dictionary coverage, path,
-and neighbouring words. The trained trees are compiled into SQL, so scoring is a
-projection: no join, no exchange, no Python.
+Candidates are found by pattern: runs of 16 or more key characters, dots between them
+included, that hold a digit or begin as keys of known services do; whatever is assigned to
+a name with a secret word, of any length; and quoted values that are assigned to something. A
+forest, trained on labelled findings, judges each one by its length, character transitions
+and mix, dictionary coverage, path, and neighbouring words. The trained trees are compiled
+into SQL, so scoring is a projection: no join, no exchange, no Python.
 
 Edge cases: null and empty texts have no candidates; equal candidates in a text are
 findings of their own; rows of one doc_id are scanned one by one; an empty table gives
@@ -22,8 +23,21 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import table
 
-#: A candidate, as a Java pattern. Lookarounds keep it whole; both branches are linear.
-CANDIDATE = r"""(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,}|(?<=[=:][ ]?["'])[^"'\s]{8,}(?=["'])"""
+NEAR_WORDS = "token|secret|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth"
+#: What keys of known services begin with.
+PREFIXES = "AKIA|ASIA|gh[opsur]_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-|eyJ"
+#: A candidate, as a Java pattern of three branches. Lookarounds keep it whole, and those
+#: that look back are bounded. A name and its = or : are never part of a value.
+CANDIDATE = "|".join((
+    # what is assigned to a name with a secret word, or follows bearer: of any length
+    rf"""(?<=[=:> "'])(?=[^\s"'<>,;])(?<=[=:>][ ]?["']?|(?i:bearer|basic)[ ])(?<=(?i:{NEAR_WORDS})[A-Za-z0-9_-]{{0,24}}["']?[ ]?(?:=>|:=|[:=])[ ]?["']?|(?i:bearer|basic)[ ])"""
+    r"""(?!(?i:bearer|basic)[ ])(?:(?<=["'])[^"'\s]+(?=["'])|(?:(?!&[A-Za-z_]+=)[^\s"'<>,;])*(?!&[A-Za-z_]+=)[^\s"'<>,;.:)\]}])""",
+    # key characters, or runs of them joined by dots, with a digit or a known beginning
+    rf"""(?<![A-Za-z0-9_+/-])(?<![A-Za-z0-9_+/-]\.)(?:(?=[A-Za-z_+/.-]*+[0-9])|(?={PREFIXES}))(?=[A-Za-z0-9_+/.-]{{16}}|[A-Za-z0-9_+/.-]{{14,15}}=)"""
+    r"""[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+(?:={1,2}+(?![=A-Za-z0-9_+/"'.-]))?+""",
+    # a quoted value that is assigned to something
+    r"""(?<=[=:][ ]?["'])[^"'\s]{8,}(?=["'])""",
+))
 #: Common words and word parts that keys made by chance seldom hold.
 DICTIONARY = (
     "the and ing ion ent tion for with that this from have test user name data file path page index main config value item list "
@@ -31,7 +45,6 @@ DICTIONARY = (
     "column field example sample demo default local remote server client host port http https www com org net html css java "
     "python node build source target final draft copy backup temp cache log error debug info warn home work team project"
 ).split()
-NEAR_WORDS = "token|secret|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth"
 HASH_WORDS = "commit|sha-?1|sha-?256|sha512|md5|digest|checksum|hash|etag|revision|uuid|guid|isbn|issn|doi|version|card|phone|tel|order|invoice"
 #: Labelled findings to train on at most, trees, their depth, and the score from which a
 #: finding is a secret.
@@ -57,7 +70,7 @@ def features(c: str = "c") -> str:
         "assigned": f"CAST({c}.before rlike '[=:][ ]?[\"\\']?$' AS DOUBLE)",
         "secret_path": f"CAST(coalesce({c}.path, '') rlike '(?i)(env|config|conf|cfg|ini|ya?ml|properties|secret|credential|pem|key)' AS DOUBLE)",
         "test_path": f"CAST(coalesce({c}.path, '') rlike '(?i)(test|example|sample|doc|mock|fixture)' AS DOUBLE)",
-        "known_prefix": f"CAST({v} rlike '^(AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-|eyJ)' AS DOUBLE)",
+        "known_prefix": f"CAST({v} rlike '^({PREFIXES})' AS DOUBLE)",
         "hex": f"CAST({v} rlike '^([0-9a-f]+|[0-9A-F]+)$' AND {v} rlike '[A-Fa-f]' AS DOUBLE)",
         "filler": f"CAST({v} rlike '(?i)(x{{4,}}|example|your|changeme|placeholder|dummy|0{{6,}}|123456)' AS DOUBLE)",
     }
@@ -78,24 +91,32 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     alnum = f"regexp_replace({b64}, '[+/]', 'q')"
     word = lambda salt: one(DICTIONARY, salt)
     digits = "lpad(CAST(pmod(xxhash64(id, 5), 9999999999999999) AS STRING), 16, '4')"
+    mixed = f"regexp_replace({alnum}, '[0-9]', '')"  # letters alone, of both cases
+    said = "translate(substr(sha1(concat('w', id)), 1, 4 + CAST(pmod(xxhash64(id, 31), 9) AS INT)), '0123456789', 'aeioulmnrt')"  # a word
+    jwt = f"concat('eyJhbGciOiJIUzI1NiJ9.eyJ', substr({alnum}, 1, 30), '.', substr({alnum}, 5, 38))"
+    password = f"concat(initcap(substr({said}, 1, 6)), pmod(id, 10), substr({mixed}, 1, 2), {one(['!', '#', '$', '?', '%', '_', ''], 32)})"
     positive = [
         sha, f"substr({alnum}, 1, 32)", f"concat('AKIA', upper(substr({alnum}, 1, 16)))", f"concat('ghp_', substr({alnum}, 1, 36))", f"concat('sk_live_', substr({alnum}, 1, 24))",
         b64, "sha2(concat('k', id), 256)", f"concat('xoxb-', {digits}, '-', substr({alnum}, 1, 20))", f"substr({alnum}, 1, 20)", f"upper({sha})",
+        jwt, password, f"substr({mixed}, 1, 24)", f"concat('ghp_', substr({mixed}, 1, 36))", f"concat(lower({password}), substr({sha}, 1, 6))", f"concat(substr({said}, 1, 2), pmod(id, 9), substr({said}, 2, 3), {word(38)}, pmod(id, 100), substr({sha}, 1, 4))",
     ]
     negative = [
         sha, digits, f"concat({word(11)}, '_', {word(12)}, '_', {word(13)}, '_v', pmod(id, 20))", f"concat({word(14)}, '-', {word(15)}, '-', {word(16)}, '-', pmod(id, 3000))",
         "concat_ws('-', substr(sha1(CAST(id AS STRING)), 1, 8), substr(sha1(CAST(id AS STRING)), 9, 4), substr(sha1(CAST(id AS STRING)), 13, 4), substr(sha1(CAST(id AS STRING)), 17, 4), substr(sha1(CAST(id AS STRING)), 21, 12))",
         f"concat('2024-0', 1 + pmod(id, 9), '-1', pmod(id, 9), '/', {word(17)}, {word(18)})", "sha2(concat('n', id), 256)", "concat('xxxxxxxxxxxxxxxx', pmod(id, 100))", f"concat({word(19)}, {word(20)}, {word(21)}, {word(22)}, pmod(id, 100))", "concat('your_api_key_example_', pmod(id, 1000))", "md5(CAST(id AS STRING))", f"concat({word(23)}, '/', {word(24)}, '/', {word(25)}, '/', pmod(id, 10000))",
+        said, f"initcap({said})", f"concat('get', initcap({word(26)}), initcap({word(27)}))", f"concat({word(28)}, '.', {word(29)}, '.', {said})", one(["None", "null", "true", "string", "required", "password", "unknown", "process.env.TOKEN", "os.environ"], 33),
+        f"concat('www.', {said}, '.com/', {word(34)}, '-', pmod(id, 3000))", f"concat({said}, '.', {word(35)}, pmod(id, 100), '@', {said}, '.org')", f"concat({one(['api_key', 'token', 'db_password', 'secret'], 36)}, '_', {word(37)}, '_v', pmod(id, 20))",
     ]
     #: which negatives stand beside digest words, and which beside anything
-    before_positive = ['token = "', 'api_key = "', "secret: ", 'password="', "Authorization: Bearer ", 'access_key = "', "TOKEN = \"", "auth_token=", "credential: "]
+    before_positive = ['token = "', 'api_key = "', "secret: ", 'password="', "Authorization: Bearer ", 'access_key = "', "TOKEN = \"", "auth_token=", "credential: ", "db_password=", "passwd: ", "secret="]
+    before_near = [*before_positive, "author: ", "the token: ", "Password: ", "authors=", "secret=", "passwd: "]
     before_hash = ["commit ", "sha1: ", "md5 ", "checksum ", "digest: ", "uuid ", "revision ", 'etag = "', "sha256:"]
     before_plain = ["see ", "the ", "in ", "und ", "de ", "call ", "card ", "order ", "la ", "of ", "at ", "page ", ""]
     case = lambda xs, salt: "CASE " + " ".join(f"WHEN pmod(xxhash64(id, {salt}), {len(xs)}) = {i} THEN {x}" for i, x in enumerate(xs)) + " END"
-    fillers = f"pmod(xxhash64(id, 2), {len(negative)}) IN (7, 9)"
+    fillers = f"pmod(xxhash64(id, 2), {len(negative)}) IN (7, 9, 12, 13, 14, 15, 16)"
     return spark.range(min(rows, MAX_TRAINING_ROWS)).selectExpr(
         "CAST(pmod(id, 2) AS DOUBLE) AS label", f"CASE WHEN pmod(id, 2) = 1 THEN {case(positive, 1)} ELSE {case(negative, 2)} END AS value",
-        f"""CASE WHEN pmod(id, 2) = 1 THEN {one(before_positive, 3)} WHEN {fillers} THEN {one(before_positive, 3)}
+        f"""CASE WHEN pmod(id, 2) = 1 THEN {one(before_positive, 3)} WHEN {fillers} THEN {one(before_near, 3)}
              WHEN pmod(xxhash64(id, 2), {len(negative)}) IN (0, 4, 6, 10) THEN {one(before_hash, 3)} ELSE {one(before_plain, 3)} END AS before""",
         one(['"', " ", "", '" '], 6) + " AS after",
         f"CASE WHEN pmod(id, 2) = 1 THEN {one(['app.env', 'config.yml', '', '', ''], 4)} ELSE {one(['tests/test_a.py', 'docs/readme', '', '', ''], 4)} END AS path",
@@ -148,7 +169,7 @@ def scan(docs: DataFrame, forest: str | None = None, path: str | None = None) ->
       CASE WHEN size(_found) > 0 THEN
       transform(
        transform(
-        transform(_found, (v, i) -> named_struct('value', v, 'before', right(_cut[i], {LEFT}), 'after', left(_cut[i + 1], {RIGHT}), 'path', {where},
+        transform(_found, (v, i) -> named_struct('value', v, 'before', right(IF(i > 0, concat(right(_found[i - 1], {LEFT}), _cut[i]), _cut[i]), {LEFT}), 'after', left(_cut[i + 1], {RIGHT}), 'path', {where},
           'start', aggregate(slice(_cut, 1, i + 1), 0L, (a, x) -> a + char_length(x)) + aggregate(slice(_found, 1, i), 0L, (a, x) -> a + char_length(x)))),
         c -> named_struct('c', c, 'f', {features('c')})),
        x -> element_at(transform(array(x.f), f -> named_struct('value', x.c.value, 'start', x.c.start, 'score', {forest}, 'is_secret', {forest} >= {THRESHOLD}D)), 1))
@@ -157,8 +178,14 @@ def scan(docs: DataFrame, forest: str | None = None, path: str | None = None) ->
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", forest: str | None = None) -> DataFrame:
-    """docs with every secret in ``text`` replaced by ``mark``; all else is left alone."""
-    return scan(docs, forest).withColumn("text", F.expr(f"aggregate(array_distinct(transform(filter(findings, x -> x.is_secret), x -> x.value)), text, (t, v) -> replace(t, v, '{mark}'))")).drop("findings")
+    """docs with every secret in ``text`` replaced by ``mark``, and copies of those of 8 or
+    more characters wherever else they stand; all else is left alone."""
+    placed = F.expr(f"""
+      CASE WHEN exists(findings, x -> x.is_secret) THEN aggregate(filter(findings, x -> x.is_secret), named_struct('at', 0L, 'out', ''),
+        (a, x) -> named_struct('at', x.start + char_length(x.value), 'out', concat(a.out, substr(text, CAST(a.at + 1 AS INT), CAST(x.start - a.at AS INT)), '{mark}')),
+        a -> concat(a.out, substr(text, CAST(a.at + 1 AS INT)))) ELSE text END""")
+    copies = f"aggregate(array_distinct(transform(filter(findings, x -> x.is_secret AND char_length(x.value) >= 8), x -> x.value)), text, (t, v) -> replace(t, v, '{mark}'))"
+    return scan(docs, forest).withColumn("text", placed).withColumn("text", F.expr(copies)).drop("findings")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

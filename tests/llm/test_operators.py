@@ -318,3 +318,17 @@ def test_rare_languages_have_thresholds_of_all_their_texts(spark):
         assert limits[lang] == pytest.approx(h.mean() + langid.REJECT_SDS * h.std() + langid.REJECT_MARGIN)
     assert limits["el"] > m.entropies([rows[-2][1]])[0][0, m.languages.index("el")] + langid.REJECT_MARGIN
     assert np.isfinite(limits["ja"])
+
+
+def test_secrets_in_any_form(spark):
+    r = random.Random(4)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(36))
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    cases = [("Authorization: Bearer ", jwt, " end"), ("use ghp_", letters, " now"), ("secret=", letters[:24], " x"), ("password: ", "Hunter2x!", " ok"), ("db_password=", "s3cr3tvalue99aa11", "\n"), ("api_token_of_server_2=", "aB3dE5gH7jK9mN1pQ", ";"), ('{"token": "', letters, '"}')]
+    rows = [(i, f"{a}{v}{b}") for i, (a, v, b) in enumerate(cases)]
+    got = {x.doc_id: x.text for x in secrets.redact(documents(spark, rows)).collect()}
+    for i, (a, v, b) in enumerate(cases):
+        head = "use " if i == 1 else a
+        assert got[i] == f"{head}[secret]{b}", got[i]
+    plain = [(50, "author: Smith wrote it"), (51, "password: required"), (52, "token = getToken()"), (53, "see www.example.com/files/data-2024-01"), (54, "mail john.smith1984@example.org now"), (55, "secret: the pin is known")]
+    assert {x.doc_id: x.text for x in secrets.redact(documents(spark, plain)).collect()} == dict(plain)
