@@ -53,23 +53,41 @@ DROPPED_NAMES = (
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar widget footer header masthead comment comments respond disqus replies share sharing social related newsletter subscribe subscription signup login popup modal pagination pager"
 ).split()
+#: Words that only say where or what kind of box something named above is.
+BOX_NAMES = "left right top bottom site global primary secondary sticky fixed mobile box bar list area section block container wrapper wrap inner outer slot unit item items link links button buttons form posts articles stories".split()
+#: Elements that a name never makes unwanted.
+KEPT = "html body main article".split()
 #: An open element of the first kind is ended by the start of one of the second.
 CLOSES = {"p": set(BLOCKS), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile("[a-z]+")
-_RAW, _VOID, _BLOCKS, _DROPPED, _DROPPED_ROLES, _DROPPED_NAMES = map(frozenset, (RAW, VOID, BLOCKS, DROPPED, DROPPED_ROLES, DROPPED_NAMES))
+_RAW, _VOID, _BLOCKS, _DROPPED, _DROPPED_ROLES, _DROPPED_NAMES, _BOX_NAMES, _KEPT = map(frozenset, (RAW, VOID, BLOCKS, DROPPED, DROPPED_ROLES, DROPPED_NAMES, BOX_NAMES, KEPT))
+_HEADERS = frozenset(("header", "masthead"))
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    if tag in _DROPPED:
-        return True
+def _named(value: str, inside: bool) -> bool:
+    """Whether a whole class or id names something unwanted: a name, or names and words for
+    boxes. The header of an article is part of it."""
+    for token in value.lower().split():
+        pieces = set(_NAME.findall(token))
+        names = pieces & _DROPPED_NAMES
+        if names and pieces <= _DROPPED_NAMES | _BOX_NAMES and not (inside and names <= _HEADERS):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attrs: str, inside: bool = False) -> int:
+    """0 for what is wanted, 1 for what is unwanted by its class or id alone, else 2."""
+    if tag in _DROPPED and not (tag == "header" and inside):
+        return 2
     if not attrs.strip():
-        return False
+        return 0
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    names = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    return bool(names & _DROPPED_NAMES) or found.get("role", "").lower() in _DROPPED_ROLES or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTR.sub("", attrs))) or "display:none" in found.get("style", "").replace(" ", "").lower()
+    if found.get("role", "").lower() in _DROPPED_ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", _ATTR.sub("", attrs)) or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return 0 if tag == "header" and inside else 2
+    return int(tag not in _KEPT and _named(f"{found.get('class', '')} {found.get('id', '')}", inside) and not (tag == "header" and inside))
 
 
 class Block:
@@ -78,14 +96,14 @@ class Block:
 
     __slots__ = ("in_article", "linked", "path", "text", "unwanted")
 
-    def __init__(self, path: str, text: str, linked: float, in_article: bool, unwanted: bool) -> None:
+    def __init__(self, path: str, text: str, linked: float, in_article: bool, unwanted: int) -> None:
         self.path, self.text, self.linked, self.in_article, self.unwanted = path, text, linked, in_article, unwanted
 
 
 def parse(html: str) -> tuple[list[Block], Counter]:
     """The blocks of a page and the counts of its element paths."""
     # open block elements: (tag, path, in article, unwanted)
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
     blocks: list[Block] = []
     paths: Counter = Counter()
     text: list[str] = []
@@ -145,9 +163,7 @@ def parse(html: str) -> tuple[list[Block], Counter]:
         _, path, inside, bad = stack[-1]
         path = f"{path}/{tag}"
         paths[path] += 1
-        # the header of an article is part of it
-        unwanted = _unwanted(tag, m[3]) and not (tag == "header" and inside)
-        stack.append((tag, path, inside or tag in ("article", "main") or 'role="main"' in m[3], bad or unwanted))
+        stack.append((tag, path, inside or tag in ("article", "main") or 'role="main"' in m[3], max(bad, _unwanted(tag, m[3], inside))))
     flush()
     return blocks, paths
 
@@ -156,6 +172,10 @@ def parse(html: str) -> tuple[list[Block], Counter]:
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre caption figcaption summary address".split())
 
 
+#: Those that are never a menu, however much of them is linked.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 caption figcaption pre blockquote".split())
+
+
 def _place(path: str) -> str:
     while path.rpartition("/")[2] in LINES:
         path = path.rpartition("/")[0]
@@ -206,12 +226,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
+def _slots(blocks: list[Block]) -> list[Block]:
+    """The blocks of the article, or of the body without menus where there is none. Names are
+    not heeded where nothing else is left."""
+    slots = [x for x in blocks if not x.unwanted] or [x for x in blocks if x.unwanted < 2]
+    return [x for x in slots if x.in_article] or [x for x in slots if x.linked <= 0.5 or x.path.rpartition("/")[2] in PROSE] or slots
+
+
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     """The slots of a page's article, blocks joined by an empty line."""
-    blocks, _ = parse(html)
-    slots = [x for x in blocks if not x.unwanted]
-    article = [x for x in slots if x.in_article]
-    slots = article or [x for x in slots if x.linked <= 0.5]
+    slots = _slots(parse(html)[0])
     left = [x for x in slots if role(x.path, x.text) not in template] if template else slots
     return "\n\n".join(x.text for x in left or slots)
 

@@ -332,3 +332,13 @@ def test_secrets_in_any_form(spark):
         assert got[i] == f"{head}[secret]{b}", got[i]
     plain = [(50, "author: Smith wrote it"), (51, "password: required"), (52, "token = getToken()"), (53, "see www.example.com/files/data-2024-01"), (54, "mail john.smith1984@example.org now"), (55, "secret: the pin is known")]
     assert {x.doc_id: x.text for x in secrets.redact(documents(spark, plain)).collect()} == dict(plain)
+
+
+def test_html_names_drop_whole_tokens_only():
+    text = "Head\n\nOne long paragraph of the story."
+    inner = "<h1>Head</h1><p>One long paragraph of the story.</p>"
+    for a, b in (('<body class="has-sidebar">', ""), ('<body class="right-sidebar sticky-header">', ""), ('<article class="post comment-closed">', "</article>"), ('<div class="with-sidebar">', "</div>"), ('<div id="social-science">', "</div>"), ('<main class="widget">', "</main>"), ('<div class="sidebar">', "</div>")):
+        assert html.main_text(f"{a}{inner}{b}") == text, a
+    assert html.main_text('<article><div class="article-header"><h1>Head</h1></div><div class="header"><p>By me</p></div><p>Text</p></article>') == "Head\n\nBy me\n\nText"
+    assert html.main_text('<div class="right-sidebar"><p>x</p></div><div id="cookie-notice">y</div><div class="newsletter-signup">z</div><p>Text</p>') == "Text"
+    assert html.main_text("<ul><li><a href=a>Home</a></ul><h2><a href=b>Linked head</a></h2><p><a href=c>All of it is linked</a></p>") == "Linked head\n\nAll of it is linked"
