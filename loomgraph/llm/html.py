@@ -8,6 +8,7 @@
 3. A class is valid if it holds MIN_ROLES roles and occurs on MIN_SHARE of the host's pages
    (of MIN_PAGES at least). Valid classes nest: the parent of a class is the class of the
    elements around it, and only classes with a chain of valid parents make the template.
+   Pages of a host with copies or near copies of one article count as one page in all this.
 4. What isn't template is a slot. From each page the slots of its article are taken: those
    in ``article`` or ``main`` if it has one, else in its body, without those in navigation,
    headers, footers, asides, forms, adverts, notices and comments, which are known by
@@ -29,12 +30,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import settle, table
+from loomgraph.llm.simhash import components
 
 MIN_PAGES, MIN_SHARE, MIN_ROLES = 5, 0.95, 3
 #: Template rows (hosts times roles) up to which templates are broadcast.
@@ -186,29 +189,66 @@ def role(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}".encode()) - (1 << 63)
 
 
-def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, role, parent, is_text, vec, n): of each role of a page its part of the vector."""
+def with_host(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
+    return pages.withColumn("host", F.when(host != "", host).otherwise(F.concat(F.lit("page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+
+
+#: Random bits of the minima that sketch an article: BANDS of ROWS minima each.
+BANDS, ROWS = 8, 8
+_MIX = np.random.default_rng(9).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketch(text: str) -> list[int]:
+    """A hash for each band of minima of the text's 3-word hashes: texts share one with a
+    chance of 1 - (1 - s ** ROWS) ** BANDS, for a share s of 3-word runs in common."""
+    words = text.split()
+    runs = {" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))} if words else ()
+    if not runs:
+        return []
+    low = np.full(BANDS * ROWS, ~np.uint64(0))
+    every = np.array([xxhash.xxh64_intdigest(r.encode()) for r in runs], np.uint64)
+    for s in range(0, len(every), 4096):
+        mixed = every[s : s + 4096, None] * _MIX[0] + _MIX[1]
+        low = np.minimum(low, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return [xxhash.xxh64_intdigest(low[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)]
+
+
+_ROLES = pa.list_(pa.struct([("role", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("n", pa.int64())]))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, node, bands, roles): of each page its sketch, and its roles with their counts."""
     for b in batches:
-        out: list[tuple] = []
-        for host, page, page_html in zip(b.column("host").to_pylist(), b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+        bands, roles = [], []
+        for page_html in b.column("html").to_pylist():
             blocks, paths = parse(page_html or "")
-            counts = {(role(p), role(p.rpartition("/")[0]), False): n for p, n in paths.items()}
-            counts |= {(role(p, t), role(_place(p)), True): n for (p, t), n in Counter((x.path, x.text) for x in blocks).items()}
-            for (own, parent, is_text), n in counts.items():
-                out.append((host, own, parent, is_text, (xxhash.xxh64_intdigest(f"{page}:{n}".encode()) >> 8) - (1 << 55), n))
-        yield pa.RecordBatch.from_pylist([dict(zip(("host", "role", "parent", "is_text", "vec", "n"), x, strict=True)) for x in out], schema=pa.schema([("host", pa.string()), ("role", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("vec", pa.int64()), ("n", pa.int64())]))
+            bands.append(_sketch("\n".join(x.text for x in _slots(blocks))))
+            own = [(role(p), role(p.rpartition("/")[0]), False, n) for p, n in paths.items()]
+            own += [(role(p, t), role(_place(p)), True, n) for (p, t), n in Counter((x.path, x.text) for x in blocks).items()]
+            roles.append([dict(zip(("role", "parent", "is_text", "n"), x, strict=True)) for x in own])
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("node"), pa.array(bands, pa.list_(pa.int64())), pa.array(roles, _ROLES)], ["host", "node", "bands", "roles"])
 
 
-def with_host(pages: DataFrame) -> DataFrame:
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    return pages.withColumn("host", F.when(host != "", host).otherwise(F.concat(F.lit("page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, node, roles) of one page for each group of pages of a host that hold copies or
+    near copies of one article: copies linked by a band of their sketches, in chains of any
+    length. Equal pages of a host are one node."""
+    pages = pages.select("host", "html", F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("node"))
+    sketches = settle(pages.mapInArrow(_sketches, "host string, node long, bands array<long>, roles array<struct<role: long, parent: long, is_text: boolean, n: long>>"), "sketches")
+    bands = sketches.select("host", "node", F.explode("bands").alias("band")).distinct()
+    low = bands.groupBy("host", "band").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root < last").drop("last")
+    linked = components(bands.join(low, ["host", "band"]).where("node <> root").select("node", "root"))
+    return sketches.dropDuplicates(["node"]).join(linked, "node", "left").where("component IS NULL OR component = node").select("host", "node", "roles")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, class, parent_class, role, is_text, n_pages): the roles of all valid, nested
-    classes of all hosts. pages has host, page_id and html."""
+    classes of all hosts. pages has host and html. Copies
+    of an article count as one page: they must not make its text a template."""
+    pages = distinct_pages(pages)
     hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= MIN_PAGES)
-    roles = pages.select("host", "page_id", "html").mapInArrow(_roles, "host string, role long, parent long, is_text boolean, vec long, n long")
+    roles = pages.select("host", "node", F.explode("roles").alias("r")).select("host", "r.*", F.shiftright(F.xxhash64("node", "r.n"), 8).alias("vec"))
     # sums of 56-bit hashes: a wrong equality needs a chance of 1 in 2^56
     vectors = roles.groupBy("host", "role", "parent", "is_text").agg(F.sum(F.col("vec").cast("decimal(20,0)")).alias("vec"), F.count("*").alias("n_pages"), F.sum("n").alias("n"))
     frequent = vectors.join(hosts, "host").where(F.col("n_pages") >= MIN_SHARE * F.col("host_pages"))

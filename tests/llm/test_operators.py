@@ -342,3 +342,20 @@ def test_html_names_drop_whole_tokens_only():
     assert html.main_text('<article><div class="article-header"><h1>Head</h1></div><div class="header"><p>By me</p></div><p>Text</p></article>') == "Head\n\nBy me\n\nText"
     assert html.main_text('<div class="right-sidebar"><p>x</p></div><div id="cookie-notice">y</div><div class="newsletter-signup">z</div><p>Text</p>') == "Text"
     assert html.main_text("<ul><li><a href=a>Home</a></ul><h2><a href=b>Linked head</a></h2><p><a href=c>All of it is linked</a></p>") == "Linked head\n\nAll of it is linked"
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    r = random.Random(8)
+    shared = [prose(r, 40) for _ in range(6)]
+    rows = []
+    for i in range(20):  # a date on each, and on some one edited paragraph
+        body = [f"Printed on day {i}", *shared]
+        if i % 3 == 0:
+            body[1 + i % 6] = prose(r, 8) + " " + body[1 + i % 6]
+        rows.append((i, f"https://copies.example/{i}", f"<html><body><article>{''.join(f'<p>{x}</p>' for x in body)}</article></body></html>", "\n\n".join(body)))
+    for i in range(20):  # other articles between the same lines
+        own = prose(r, 60)
+        rows.append((100 + i, f"https://news.example/{i}", f"<html><body><div><p>Subscribe now</p><div><p>{own}</p></div><p>All times are local</p></div></body></html>", own))
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame([x[:3] for x in rows] + [rows[0][:3]], "page_id long, url string, html string")).collect()}
+    for i, _, _, text in rows:
+        assert got[i] == " ".join(text.split(" ")), i
