@@ -12,25 +12,38 @@ B. Hits are extended: each document hashes the windows that reach over its hits
    document with a smaller id: so the runs of windows that go are the maximal exact repeats.
 C. Each document drops the words that those windows cover.
 
-Nothing is compared pair by pair: a passage in n documents costs n hashes. Hashes travel
-packed: one row holds what a chunk of documents has for one part of the hash space, 4
-bytes a probe (the part and those tell 2 M probes apart with few chance hits, which pass B
-undoes) and 8 bytes a window. Passes B and C need the texts by document; one exchange
-serves both. The number of parts follows the input, so a part stays at PART_BYTES of text.
-
-Edge cases: null and empty texts have no words; a document without an id neither loses
-words nor makes others lose them; rows of one doc_id (repeated or not) don't shorten each
-other; an empty table gives no rows; other columns are ignored. Hashes decide equality: 64
-bits within a part, so the chance of any wrong window in 10^12 is about 1 in 10^4.
+Nothing is compared pair by pair: a passage in n documents costs n hashes. What a chunk of
+documents can settle by itself never reaches an exchange: of a probe or block that SHARED
+documents of a chunk have, only the largest document's probe and the smallest one's block
+travel, the others go to pass B at once; and of a window that many documents of a chunk
+have, only the smallest document's travels, as the others are gone anyway. So a passage in
+a third of all documents costs a part of the hash space a few entries a chunk.
+
+Hashes travel packed: one row holds what a chunk of documents has for one part of the hash
+space, 4 bytes a probe (chance hits among those are undone by pass B) and 16 bytes a
+window. Passes B and C need the texts by document; one exchange serves both. The number of
+parts follows the input, so a part stays at PART_BYTES of text; beyond about a terabyte a
+packed row holds few entries and a probe costs tens of bytes.
+
+Words have 128-bit XXH3 hashes, and those of a run are combined by halves in two lanes with
+full mixing (no polynomial, so no constructed words collide). Equal windows are windows of
+equal 128-bit hashes: among 10^13 of them a wrong pair has a chance of about 10^-13.
+
+Edge cases: null and empty texts have no words; very long texts are read in pieces; a
+document without an id neither loses words nor makes others lose them; rows of one doc_id
+(repeated or not) don't shorten each other; ties cannot occur, as the smallest id decides;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,23 +51,11 @@ from loomgraph.llm.common import settle, table
 
 WINDOW, BLOCK = 50, 25
 PART_BYTES, CHUNK_BYTES = 24 << 20, 2 << 20
+#: Documents of a chunk that share a probe or block from which on it is settled there.
+SHARED = 3
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_TABLE = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 64, 256, dtype=_U, endpoint=False) | _U(1)
-_BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        x = np.full(max(n, 1 << 16), base, _U)
-        x[0] = 1
-        have = _powers[base] = np.multiply.accumulate(x)
-    return have[:n]
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,59 +64,97 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _runs(values: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of values[first:end], by prefix sums modulo 2 ** 64."""
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(values * _power(base, len(values)), dtype=_U)))
-    return _mix((sums[end] - sums[first]) * _power(pow(base, -1, 1 << 64), len(values) + 1)[first])
+def _joined(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs (a, b) followed by runs (c, d)."""
+    x = _mix(a * _U(0x9E3779B97F4A7C15) + c * _U(0xD1342543DE82EF95))
+    return x, _mix((b ^ x) * _U(0xA0761D6478BD642F) + d * _U(0xE7037ED1A0B428DB))
+
+
+def _pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text cut at white space, so that long ones need little memory."""
+    at = 0
+    while len(text) - at > most and (m := _BLANK.search(text, at + most)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:] if at else text
 
 
 class Words:
-    """The words of a chunk of documents: their documents, places and hashes."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        solid = ~_SPACE[data]
-        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-        before[1:], after[:-1] = solid[:-1], solid[1:]
-        cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < len(data))]
-        before[cuts] = False
-        after[cuts - 1] = False
-        first, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-        self.doc = np.searchsorted(offsets, first, "right") - 1
-        self.count = np.bincount(self.doc, minlength=len(offsets) - 1)
+    """The words of a chunk of documents: their documents, places and hashes (two lanes)."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        counts, digests, digest = [], [], xxhash.xxh3_128_digest
+        for t in texts:
+            n = 0
+            for piece in _pieces(t or b""):
+                w = piece.split()  # of bytes: ASCII white space
+                n += len(w)
+                digests.append(b"".join(map(digest, w)))
+            counts.append(n)
+        lanes = np.frombuffer(b"".join(digests), _U).reshape(-1, 2)
+        self.a, self.b = np.ascontiguousarray(lanes[:, 0]), np.ascontiguousarray(lanes[:, 1])
+        self.count = np.array(counts, np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.count)))
-        self.place = np.arange(len(first)) - self.begin[self.doc]
-        self.hash = _runs(_TABLE[data], first, end, _BYTE)
+        self.doc = np.repeat(np.arange(len(counts)), self.count)
+        self.place = np.arange(len(self.a)) - self.begin[self.doc]
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(word number, hash) of every run of so many words within a document."""
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word number, hash in two lanes) of every run of so many words within a document."""
         at = np.flatnonzero(self.place + length <= self.count[self.doc])
-        return at, _runs(self.hash, at, at + length, _WORD)
-
-
-def _chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, bytes, offsets) of runs of rows with about so many bytes."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
-    s = 0
-    while s < len(column):
-        e = max(s + 1, int(np.searchsorted(offsets, offsets[s] + most, "right")) - 1)
-        yield s, e, data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]
-        s = e
+        n, done, size, out = len(self.a) - length + 1, 0, 1, None
+        if n <= 0:
+            return at, self.a[:0], self.b[:0]
+        x, y = self.a, self.b  # of runs of ``size`` words
+        while size <= length:
+            if length & size:
+                part = x[done : done + n], y[done : done + n]
+                out = part if out is None else _joined(*out, *part)
+                done += size
+            if 2 * size <= length:
+                x, y = _joined(x[:-size], y[:-size], x[size:], y[size:])
+            size *= 2
+        return at, out[0][at], out[1][at]
+
+
+def _chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(from, to, texts) of runs of rows with about so many bytes."""
+    column = column.cast(pa.large_binary())
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else []
+    s = size = 0
+    for i, n in enumerate(sizes):
+        size += int(n)
+        if size >= most or i + 1 == len(column):
+            yield s, i + 1, column.slice(s, i + 1 - s).to_pylist()
+            s, size = i + 1, 0
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (_mix(hashes ^ _U(0x5851F42D4C957F2D)) % _U(parts)).astype(np.int64)
 
 
-def _probes(words: Words, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All probes in the order in which they are packed, by part, document and place:
-    (word number, part, hash)."""
-    at, h = words.windows(BLOCK)
-    part = _part(h, parts)
-    order = np.argsort(part, kind="stable")
-    return at[order], part[order], h[order]
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & _U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _settled(a: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of probes with hashes a in documents ids, some of them of blocks: which travel as
+    probes, and which as blocks, as the chunk can't settle them."""
+    order = np.lexsort((ids, a))
+    key, who = a[order], ids[order]
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+    group = np.cumsum(new) - 1
+    other = new | np.concatenate(([True], who[1:] != who[:-1])) if len(key) else new
+    few = np.bincount(group, other)[group] < SHARED if len(key) else new
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(key)])) - 1
+    probes = few | (who == who[last[group]]) if len(key) else new
+    # the smallest document that has it as a block
+    owner = np.where(block[order], who, np.iinfo(np.int64).max)
+    least = np.minimum.reduceat(owner, first)[group] if len(key) else owner
+    blocks = block[order] & (few | (who == least))
+    as_probe, as_block = np.empty(len(a), bool), np.empty(len(a), bool)
+    as_probe[order], as_block[order] = probes, blocks
+    return as_probe, as_block
 
 
 def _packed(part: np.ndarray, doc: np.ndarray, ids: list[np.ndarray], values: list[np.ndarray]) -> Iterator[list]:
@@ -151,10 +190,10 @@ def _schema(*fields: tuple[str, pa.DataType]) -> pa.Schema:
 
 _B, _I, _L = pa.binary(), pa.int32(), pa.int64()
 _BLOCKS_AND_PROBES = _schema(("part", _I), ("kind", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B))
-_HITS = _schema(("bucket", _I), ("ids", _B), ("prints", _B), ("parts", _B), ("kinds", _B), ("counts", _B), ("values", _B))
-_DOC_HITS = _schema(("doc_id", _L), ("_text", _L), ("parts", _B), ("kinds", _B), ("ordinals", _B))
-_WINDOWS = _schema(("part", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B), ("places", _B))
-_GONE = _schema(("bucket", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B))
+_HITS = _schema(("bucket", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B))
+_DOC_HITS = _schema(("doc_id", _L), ("_text", _L), ("hits", _B))
+_WINDOWS = _schema(("part", _I), ("kind", _I), ("ids", _B), ("prints", _B), ("counts", _B), ("values", _B), ("a", _B), ("b", _B))
+_GONE = _HITS
 _DOC_GONE = _schema(("doc_id", _L), ("_text", _L), ("runs", _B))
 _DDL = {"int32": "int", "int64": "long", "binary": "binary"}
 
@@ -167,174 +206,176 @@ def _numbers(b: pa.RecordBatch, name: str) -> np.ndarray:
     return b.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _by_document(parts: int, ids: np.ndarray, keys: list[np.ndarray], values: np.ndarray) -> Iterator[list]:
-    """Rows of entries packed by a hash of the document: a row per part of the documents,
-    however many documents and entries there are. keys start with the texts' hashes."""
+def _by_document(parts: int, ids: np.ndarray, prints: np.ndarray, values: np.ndarray) -> Iterator[list]:
+    """Rows [bucket, ids, prints, counts, values] of entries packed by a hash of the document:
+    a row per part of the documents, however many documents and entries there are. Entries
+    that occur twice are one."""
     if not len(ids):
         return
     bucket = _part(ids.view(_U), parts)
-    order = np.lexsort((*keys[::-1], ids, bucket))
-    bucket, ids, keys, values = bucket[order], ids[order], [k[order] for k in keys], values[order]
-    new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in (bucket, ids, *keys)], axis=0)))
-    yield from _packed(bucket, np.cumsum(new) - 1, [x[new] for x in (ids, *keys)], [values])
+    order = np.lexsort((values, prints, ids, bucket))
+    bucket, ids, prints, values = bucket[order], ids[order], prints[order], values[order]
+    new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])))
+    kept = new | np.concatenate(([True], values[1:] != values[:-1]))
+    doc = np.cumsum(new) - 1
+    yield from _packed(bucket[kept], doc[kept], [x[new] for x in (ids, prints)], [values[kept]])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(doc_id, text hash, [values, entries of the other names ...]) of each document."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(3 + len(names))]
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(doc_id, text hash, distinct values) of each document."""
+    columns: list[list[np.ndarray]] = [[], [], []]
     for b in batches:
         for r in b.to_pylist():
             counts = np.frombuffer(r["counts"], np.uint32)
+            columns[0].append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
+            columns[1].append(np.repeat(np.frombuffer(r["prints"], np.int64), counts))
             columns[2].append(np.frombuffer(r["values"], np.uint32))
-            for c, name in zip((0, 1, *range(3, 3 + len(names))), ("ids", "prints", *names), strict=True):
-                columns[c].append(np.repeat(np.frombuffer(r[name], np.int64), counts))
     if not columns[0]:
         return
-    ids, prints, *rest = (np.concatenate(c) for c in columns)
-    order = np.lexsort((prints, ids))
-    ids, prints, rest = ids[order], prints[order], [x[order] for x in rest]
+    ids, prints, values = (np.concatenate(c) for c in columns)
+    order = np.lexsort((values, prints, ids))
+    ids, prints, values = ids[order], prints[order], values[order]
     cuts = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])) + 1, [len(ids)]))
     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield int(ids[s]), int(prints[s]), [x[s:e] for x in rest]
+        yield int(ids[s]), int(prints[s]), np.unique(values[s:e])
 
 
 def _index(parts: int):
-    """Pass A, over documents: blocks (kind 0) and probes (kind 1), packed."""
+    """Pass A, over documents, packed: blocks (kind 0) and probes (1) by part of the hash
+    space, and hits that the chunk knows of (2) by part of the documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            ids, prints = _numbers(b, "doc_id"), _numbers(b, "_text")
-            for s, e, data, offsets in _chunks(b.column("text")):
-                words = Words(data, offsets)
-                at, part, h = _probes(words, parts)
-                own, short = [ids[s:e], prints[s:e]], (h & _U(0xFFFFFFFF)).astype(np.uint32)
-                for r in _packed(part, words.doc[at], own, [short]):
-                    yield [r[0], 1, *r[1:]]
-                block = words.place[at] % BLOCK == 0
-                for r in _packed(part[block], words.doc[at[block]], own, [short[block]]):
-                    yield [r[0], 0, *r[1:]]
+            every_id, every_print = _numbers(b, "doc_id"), _numbers(b, "_text")
+            for s, e, texts in _chunks(b.column("text")):
+                words, ids, prints = Words(texts), every_id[s:e], every_print[s:e]
+                at, a, other = words.windows(BLOCK)
+                doc, block = words.doc[at], words.place[at] % BLOCK == 0
+                probe, block_goes = _settled(a, ids[doc], block)
+                part, short = _part(other, parts), _short(a)
+                for kind, mine in ((1, probe), (0, block_goes)):
+                    sel = np.flatnonzero(mine)
+                    sel = sel[np.argsort(part[sel], kind="stable")]
+                    for r in _packed(part[sel], doc[sel], [ids, prints], [short[sel]]):
+                        yield [r[0], kind, *r[1:]]
+                known = ~probe | (block & ~block_goes)
+                for r in _by_document(parts, ids[doc[known]], prints[doc[known]], short[known]):
+                    yield [r[0], 2, *r[1:]]
 
     return lambda batches: _batches(rows(batches), _BLOCKS_AND_PROBES)
 
 
-def _read(batches: Iterator[pa.RecordBatch], kinds: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, dict[str, bytes]]]:
+def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Pass A, over the parts: the hashes by which documents have hits."""
+    keys, docs, prints = ([], []), ([], []), ([], [])
     for b in batches:
+        known = []
         for r in b.to_pylist():
-            yield r["part"], r["kind"] if kinds else 0, np.frombuffer(r["ids"], np.int64), np.frombuffer(r["prints"], np.int64), np.frombuffer(r["counts"], np.uint32), r
-
-
-def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Pass A, over the parts: which probes (kind 1) and which blocks (0) have hits."""
-    keys, docs, sides = ([], []), ([], []), ([], [])
-    for part, kind, ids, prints, counts, r in _read(batches, True):
-        keys[kind].append(np.frombuffer(r["values"], np.uint32).astype(_U) | _U(part << 32))
-        docs[kind].append(np.repeat(ids, counts))
-        sides[kind].append((part, ids, prints, counts))
+            if r["kind"] == 2:
+                known.append([r["part"], *(r[x] for x in ("ids", "prints", "counts", "values"))])
+                continue
+            counts = np.frombuffer(r["counts"], np.uint32)
+            keys[r["kind"]].append(np.frombuffer(r["values"], np.uint32).astype(_U) | _U(r["part"] << 32))
+            docs[r["kind"]].append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
+            prints[r["kind"]].append(np.repeat(np.frombuffer(r["prints"], np.int64), counts))
+        yield from _batches(iter(known), _HITS)
     if not keys[0] or not keys[1]:
         return
-    block, owner = np.concatenate(keys[0]), np.concatenate(docs[0])
+    block, owner, probe, prober = (np.concatenate(x) for x in (keys[0], docs[0], keys[1], docs[1]))
     order = np.argsort(block, kind="stable")
     known, first, back = np.unique(block[order], return_index=True, return_inverse=True)
     smallest = np.minimum.reduceat(owner[order], first)
     largest = np.full(len(known), np.iinfo(np.int64).min)
+    i = np.minimum(np.searchsorted(known, probe), len(known) - 1)
+    there = known[i] == probe
+    np.maximum.at(largest, i[there], prober[there])
+    hit = there & (smallest[i] < prober)
     number = np.empty(len(block), np.int64)  # of a block's hash
     number[order] = back
-    probe_hits = []
-    for k, d in zip(keys[1], docs[1], strict=True):
-        i = np.minimum(np.searchsorted(known, k), len(known) - 1)
-        there = known[i] == k
-        np.maximum.at(largest, i[there], d[there])
-        probe_hits.append(there & (smallest[i] < d))
     owns = owner < largest[number]
-    block_hits, at = [], 0
-    for k in keys[0]:
-        block_hits.append(owns[at : at + len(k)])
-        at += len(k)
-
-    entries: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for kind, hits in ((1, probe_hits), (0, block_hits)):
-        for (part, ids, prints, counts), hit in zip(sides[kind], hits, strict=True):
-            ends, at = np.cumsum(counts.astype(np.int64)), np.flatnonzero(hit)
-            who = np.searchsorted(ends, at, "right")
-            for column, x in zip(entries, (ids[who], prints[who], np.full(len(at), part), np.full(len(at), kind), (at - (ends - counts)[who]).astype(np.uint32)), strict=True):
-                column.append(x)
-    ids, prints, of_part, kinds, ordinals = (np.concatenate(c) for c in entries)
-    yield from _batches(_by_document(parts, ids, [prints, of_part, kinds], ordinals), _HITS)
+    own_prints, prints = np.concatenate(prints[0]), np.concatenate(prints[1])
+    ids = np.concatenate((prober[hit], owner[owns]))
+    yield from _batches(_by_document(parts, ids, np.concatenate((prints[hit], own_prints[owns])), _short(np.concatenate((probe[hit], block[owns])))), _HITS)
 
 
 def _hits_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[list]:
-        for doc, text, (ordinals, of_part, kinds) in _gathered(batches, ("parts", "kinds")):
-            yield [doc, text, of_part.astype(np.int32).tobytes(), kinds.astype(np.uint8).tobytes(), ordinals.tobytes()]
-
-    yield from _batches(rows(), _DOC_HITS)
-
-
-def _places(sorted_keys: np.ndarray, order: np.ndarray, keys: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
-    """The entries with these keys and ordinals among the entries of equal key."""
-    return order[np.searchsorted(sorted_keys, keys) + ordinals]
+    yield from _batches(([doc, text, hits.tobytes()] for doc, text, hits in _gathered(batches)), _DOC_HITS)
 
 
 def _extend(parts: int):
-    """Pass B, over documents with hits: hashes of the windows over the hits, packed."""
+    """Pass B, over documents with hits: hashes of the windows over the hits, packed (kind
+    0), and by document the windows that a smaller document of the chunk has too (1)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            ids, prints = _numbers(b, "doc_id"), _numbers(b, "_text")
-            hits = [[np.frombuffer(x, t) for x in b.column(c).to_pylist()] for c, t in (("parts", np.int32), ("kinds", np.uint8), ("ordinals", np.uint32))]
-            for s, e, data, offsets in _chunks(b.column("text")):
-                words = Words(data, offsets)
-                at, part, _ = _probes(words, parts)
-                marks = []
-                of_part, kinds, ordinals = (np.concatenate(x[s:e]) for x in hits)
-                doc = np.repeat(np.arange(e - s), [len(x) for x in hits[1][s:e]])
-                for kind in (1, 0):
-                    sel = np.arange(len(at)) if kind else np.flatnonzero(words.place[at] % BLOCK == 0)
-                    key = words.doc[at[sel]] * parts + part[sel]
-                    order, mine = np.argsort(key, kind="stable"), kinds == kind
-                    marks.append(at[sel[_places(key[order], order, doc[mine] * parts + of_part[mine], ordinals[mine])]])
+            every_id, every_print = _numbers(b, "doc_id"), _numbers(b, "_text")
+            every_hit = [np.frombuffer(x, np.uint32) for x in b.column("hits").to_pylist()]
+            for s, e, texts in _chunks(b.column("text")):
+                words, ids, prints = Words(texts), every_id[s:e], every_print[s:e]
+                at, a, _ = words.windows(BLOCK)
+                # places whose hash is among the hits of their document
+                hits = np.concatenate([h.astype(_U) | _U(i << 32) for i, h in enumerate(every_hit[s:e])])
+                mine = _short(a).astype(_U) | (words.doc[at].astype(_U) << _U(32))
+                m = at[hits[np.minimum(np.searchsorted(hits, mine), len(hits) - 1)] == mine]
                 # windows that hold a hit's BLOCK words start up to WINDOW - BLOCK before it
-                start, h = words.windows(WINDOW)
                 cover = np.zeros(len(words.doc) + 1, np.int64)
-                for m in marks:
-                    np.add.at(cover, np.maximum(m - (WINDOW - BLOCK), words.begin[words.doc[m]]), 1)
-                    np.add.at(cover, m + 1, -1)
+                np.add.at(cover, np.maximum(m - (WINDOW - BLOCK), words.begin[words.doc[m]]), 1)
+                np.add.at(cover, m + 1, -1)
+                start, x, y = words.windows(WINDOW)
                 chosen = np.cumsum(cover)[start] > 0
-                start, h = start[chosen], h[chosen]
-                to = _part(h, parts)
+                start, x, y = start[chosen], x[chosen], y[chosen]
+                doc, place = words.doc[start], words.place[start].astype(np.uint32)
+                gone = _smaller(x, y, ids[doc])
+                for r in _by_document(parts, ids[doc[gone]], prints[doc[gone]], place[gone]):
+                    yield [r[0], 1, *r[1:], None, None]
+                sel = np.flatnonzero(~gone)
+                to = _part(x[sel], parts)
                 order = np.argsort(to, kind="stable")
-                start = start[order]
-                yield from _packed(to[order], words.doc[start], [ids[s:e], prints[s:e]], [h[order], words.place[start].astype(np.uint32)])
+                sel = sel[order]
+                for r in _packed(to[order], doc[sel], [ids, prints], [place[sel], x[sel], y[sel]]):
+                    yield [r[0], 0, *r[1:]]
 
     return lambda batches: _batches(rows(batches), _WINDOWS)
 
 
+def _smaller(x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows, with hashes (x, y) in documents ids, a smaller document has too."""
+    if not len(x):
+        return np.empty(0, bool)
+    order = np.lexsort((y, x))
+    a, b, who = x[order], y[order], ids[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    gone = np.empty(len(x), bool)
+    gone[order] = np.minimum.reduceat(who, np.flatnonzero(new))[np.cumsum(new) - 1] < who
+    return gone
+
+
 def _settle_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Pass B, over the parts: the windows that start in a smaller document too."""
-    keys, docs, sides = [], [], []
-    for _, _, ids, prints, counts, r in _read(batches, False):
-        keys.append(np.frombuffer(r["values"], _U))
-        docs.append(np.repeat(ids, counts))
-        sides.append((ids, prints, counts, np.frombuffer(r["places"], np.uint32)))
-    if not keys:
+    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for batch in batches:
+        known = []
+        for r in batch.to_pylist():
+            if r["kind"] == 1:
+                known.append([r["part"], *(r[c] for c in ("ids", "prints", "counts", "values"))])
+                continue
+            counts = np.frombuffer(r["counts"], np.uint32)
+            for c, v in zip(columns, (np.repeat(np.frombuffer(r["ids"], np.int64), counts), np.repeat(np.frombuffer(r["prints"], np.int64), counts), np.frombuffer(r["values"], np.uint32), np.frombuffer(r["a"], _U), np.frombuffer(r["b"], _U)), strict=True):
+                c.append(v)
+        yield from _batches(iter(known), _GONE)
+    if not columns[0]:
         return
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    smallest = np.minimum.reduceat(doc[order], np.flatnonzero(new))
-    gone = np.empty(len(key), bool)
-    gone[order] = smallest[np.cumsum(new) - 1] < doc[order]
-
-    ids, prints, places = (np.concatenate(x) for x in zip(*[(np.repeat(i, c), np.repeat(p, c), at) for i, p, c, at in sides], strict=True))
-    yield from _batches(_by_document(parts, ids[gone], [prints[gone]], places[gone]), _GONE)
+    ids, prints, places, x, y = (np.concatenate(c) for c in columns)
+    gone = _smaller(x, y, ids)
+    yield from _batches(_by_document(parts, ids[gone], prints[gone], places[gone]), _GONE)
 
 
 def _runs_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word runs that a document's windows cover: first, end, first, end ..."""
 
     def rows() -> Iterator[list]:
-        for doc, text, (places,) in _gathered(batches, ()):
-            starts = np.sort(places).astype(np.int64)
+        for doc, text, places in _gathered(batches):
+            starts = places.astype(np.int64)
             new = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + WINDOW)))
             ends = np.concatenate((starts[new[1:] - 1], starts[-1:])) + WINDOW
             yield [doc, text, np.stack([starts[new], ends], axis=1).astype(np.uint32).tobytes()]
@@ -370,7 +411,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     met = named.mapInArrow(_index(parts), _ddl(_BLOCKS_AND_PROBES)).repartition(parts, "part").mapInArrow(functools.partial(_meet, parts=parts), _ddl(_HITS))
     hits = settle(met.repartition(parts, "bucket").mapInArrow(_hits_of_documents, _ddl(_DOC_HITS)), "anchors")
-    windows = named.join(hits, ["doc_id", "_text"]).select("doc_id", "_text", "text", "parts", "kinds", "ordinals").mapInArrow(_extend(parts), _ddl(_WINDOWS))
+    windows = named.join(hits, ["doc_id", "_text"]).select("doc_id", "_text", "text", "hits").mapInArrow(_extend(parts), _ddl(_WINDOWS))
     gone = windows.repartition(parts, "part").mapInArrow(functools.partial(_settle_windows, parts=parts), _ddl(_GONE))
     gone = gone.repartition(parts, "bucket").mapInArrow(_runs_of_documents, _ddl(_DOC_GONE))
     every = named.join(gone, ["doc_id", "_text"], "left").select("doc_id", "text", "runs")

@@ -359,3 +359,36 @@ def test_copies_of_an_article_are_no_template(spark):
     got = {x.page_id: x.text for x in html.extract(spark.createDataFrame([x[:3] for x in rows] + [rows[0][:3]], "page_id long, url string, html string")).collect()}
     for i, _, _, text in rows:
         assert got[i] == " ".join(text.split(" ")), i
+
+
+def test_substrings_of_words_that_collide_by_construction(spark):
+    """Thue-Morse words collide under any polynomial hash modulo 2 ** 64."""
+    same = [f"w{i}" for i in range(49)]
+    rows, i = [], 0
+    for length in (1024, 2048, 4096):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(length))
+        for last in (word, word.translate(str.maketrans("ab", "ba"))):
+            i += 1
+            rows.append((i, " ".join([*same[: 49 - length // 1024], *[f"x{length}"] * (length // 1024), last])))
+    flip = [["p", "q"][k.bit_count() % 2] for k in range(64)]
+    rows += [(20, " ".join(flip)), (21, " ".join("q" if x == "p" else "p" for x in flip))]
+    got = substrings.dedup_substrings(documents(spark, rows)).withColumn("h", F.sha2("kept", 256)).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.h) for r in got) == slow_dedup(rows)
+    assert all(r.n_removed == 0 for r in got)
+
+
+def test_substrings_are_settled_by_the_chunk_where_it_can(monkeypatch):
+    """What many documents of a chunk share travels a few times only, and is found all the same."""
+    import pyarrow as pa
+
+    r = random.Random(6)
+    passage = prose(r, 120)
+    rows = [(i, prose(r, i % 30) + " " + passage) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([xxhash.xxh64_intdigest(t) >> 1 for _, t in rows]), pa.array([t for _, t in rows])], ["doc_id", "_text", "text"])
+
+    def entries(kinds):
+        return sum(sum(np.frombuffer(x["counts"], np.uint32).tolist()) for b in substrings._index(4)(iter([batch])) for x in b.to_pylist() if x["kind"] in kinds)
+
+    few = entries((0, 1))
+    monkeypatch.setattr(substrings, "SHARED", 1 << 60)
+    assert few < entries((0, 1)) / 5 and entries((2,)) == 0
