@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,9 +37,11 @@ def plain_words(c: Column) -> Column:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir of the session, or
-    one of our own where that is unset (single-machine runs and tests)."""
+    one of our own where that is unset and there is one machine only (tests, benches)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return base.rstrip("/")
 
@@ -51,7 +54,14 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a settled table that nothing will read again, as loops do with older rounds."""
+    _remove(df.sparkSession, df.settled_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
