@@ -1,7 +1,7 @@
 """SimHash near-dedup with bit-sliced comparison (operator 6).
 
 1. Every text gets a 64-bit fingerprint from its 3-word shingles (Arrow batches).
-2. Equal fingerprints are one node, named by its smallest doc_id.
+2. Equal fingerprints are one node; components are named by their smallest doc_id at last.
 3. Two fingerprints that differ in at most 3 bits are equal in one of 4 blocks of 16 bits,
    so nodes meet by (block, value). A bucket of more than SPLIT nodes is dealt again by
    the same rule over its other 48 bits, and then over the 36 left: 16 and 64 finer tables
@@ -14,9 +14,10 @@
 5. Components of the links by large-star and small-star rounds over DataFrames.
 
 Edge cases: null, empty and blank texts have fingerprint 0 and link like any other; fewer
-than 3 words are one shingle; rows of one doc_id keep a row each (same component if their
-fingerprints link); ties in a bit (set in exactly half) are 0; an empty table gives no
-rows; other columns are ignored.
+than 3 words are one shingle; very long texts are counted in pieces; rows of one doc_id keep
+a row each (same component if their fingerprints link); rows without a doc_id link, but name
+no component; ties in a bit (set in exactly half) are 0; an empty table gives no rows; other
+columns are ignored, also with clashing names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import settle, table
+from loomgraph.llm.common import forget, settle, table
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Nodes of a bucket beyond which it is dealt anew, and of a chunk of those that stay large.
@@ -61,14 +62,14 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in b.column(2).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _blocks(level: int, prefix: str = "") -> list[tuple[str, int]]:
@@ -268,7 +269,8 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        flat = settle(small, "links")
+        older, flat = flat, settle(small, "links")
+        forget(older)
         now = flat.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return flat.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -276,25 +278,41 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def _found(docs: DataFrame, split: int) -> DataFrame:
+    """(doc_id, text_hash, fp, component, component_id) for every row of docs; component is
+    the smallest fingerprint, component_id the smallest doc_id of a group."""
+    prints = settle(fingerprints(docs), "simhash")
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    comp = components(links(nodes.select(F.col("fp").alias("node"), "fp"), split))
+    # only linked fingerprints are joined, the smallest of each group among them
+    roots = comp.select(F.col("component").alias("node"), "component").distinct()
+    linked = nodes.join(comp.unionByName(roots), F.col("fp") == F.col("node")).select("fp", "component", "least")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.drop("least").join(smallest, "component")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    prints = settle(fingerprints(docs), "simhash")
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    comp = components(links(nodes.where("node IS NOT NULL"), split))
-    named = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _found(docs, split).select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """docs without those that link to an earlier one: of every component the row with
-    the smallest doc_id stays, once. Rows without a doc_id stay."""
-    found = near_duplicates(docs, split)
-    keep = settle(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-keep")
+    """docs with one row of every group of linked fingerprints: the one with the smallest
+    doc_id (of several texts under that id, the one with the smallest hash), once. Rows
+    without a doc_id stay."""
+    found = _found(docs, split).where("doc_id IS NOT NULL")
+    least = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    keep = settle(least.select(F.col("x.doc_id").alias("_keep_id"), F.col("x.text_hash").alias("_keep_text")), "simhash-keep")
+    named = docs.where(docs["doc_id"].isNotNull())
+    same = (docs["doc_id"].cast("long") == keep["_keep_id"]) & (F.xxhash64(docs["text"]) == keep["_keep_text"])
     # merge: the ids grow with the documents, so no size of them is a bound to broadcast by
-    out = docs.where("doc_id IS NOT NULL").join(keep.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not keep.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    out = named.join(keep.hint("merge"), same, "left_semi")
+    repeated = settle(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice_id"), F.col("text_hash").alias("_twice_text")), "simhash-repeated")
+    if not repeated.isEmpty():
+        out = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text")).dropDuplicates(["id", "text"]).select("row.*")
+    return out.unionByName(docs.where(docs["doc_id"].isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
