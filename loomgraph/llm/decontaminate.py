@@ -8,11 +8,12 @@ of SPAN words around it can reach, and yields the run of equal words if it is SP
 
 Items of fewer than SPAN words are one window; texts that may hold one are probed with all
 their runs of such lengths. The items' table is broadcast only up to MAX_BROADCAST rows
-and otherwise joined by a shuffle.
+and MAX_BROADCAST_BYTES of words, and otherwise joined by a shuffle.
 
 Edge cases: null and empty texts have no words and no hits; null item texts and null
-item ids are no items; equal items all count; rows of one doc_id and text are one document; an
-empty table gives no rows; other columns are ignored.
+item ids are no items; equal items all count; texts may be as long as Spark takes them; rows of
+one doc_id and text are compared once and come out as often as they came in; ties cannot
+occur; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from loomgraph.llm.common import plain_words, table
 
 SPAN, K = 10, 5
 MAX_BROADCAST = 50_000
-#: A fingerprint holds the hash's upper bits and the place in its lower ones.
-_PLACE = (1 << 26) - 1
+MAX_BROADCAST_BYTES = 32 << 20
+#: A fingerprint holds the upper 33 bits of the hash and the place in the lower 31: an array
+#: has fewer than 2^31 words, so no place is too large. Hits compare the words themselves.
+_PLACE = (1 << 31) - 1
 _REACH = SPAN - K
 #: Key of a document itself: with lower bits, unlike any fingerprint's.
 _OWN = 1
@@ -45,10 +48,16 @@ def _around(words: str, at: str) -> str:
     return f"slice({words}, greatest({at} - {_REACH}, 0) + 1, K_OR_LESS)".replace("K_OR_LESS", f"{at} + {K + _REACH} - greatest({at} - {_REACH}, 0)")
 
 
+def _small(rows: DataFrame, words: str) -> bool:
+    """Whether rows with an array of words may be broadcast, by their number and bytes."""
+    n, size = rows.limit(MAX_BROADCAST + 1).agg(F.count("*"), F.sum(F.octet_length(F.array_join(words, " ")))).first()
+    return n <= MAX_BROADCAST and (size or 0) <= MAX_BROADCAST_BYTES
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs (with columns doc_id, text) to rows doc_id, _text (a hash), n_words, item_id, first
-    and end (word places in the document): one per shared run, and one at least without an
-    item (item_id, first and end null) for every document."""
+    """docs (with columns doc_id, text) to rows doc_id, _text (a hash), n_words, item_id, first,
+    end (word places in the document) and own: one per shared run, and one for every document
+    that stands for itself (own; item_id, first and end are null)."""
     items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", plain_words(F.col("text")).alias("iw")).distinct()
     words = docs.select("doc_id", F.xxhash64("text").alias("_text"), plain_words(F.col("text")).alias("w"))
     words = words.withColumn("n_words", F.size("w").cast("long"))
@@ -63,7 +72,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     # the last element, null, stands for the document itself; no fingerprint has its key
     probes = probes.select("doc_id", "_text", "n_words", "w", F.coalesce(F.col("v").bitwiseAND(~_PLACE), F.lit(_OWN).cast("long")).alias("key"), F.col("v").bitwiseAND(_PLACE).cast("int").alias("p"))
     context = [F.least("p", F.lit(_REACH)).alias("do"), F.expr(_around("w", "p")).alias("dc")]
-    if index.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+    if _small(index, "ic"):
         # An inner join, by which only hits leave the generated code that explodes: no row but
         # theirs carries the words, and only there are the words around the place cut out.
         own = docs.sparkSession.range(1).select(F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(_OWN).cast("long").alias("key"), F.lit(None).cast("int").alias("io"), F.lit(None).cast("array<string>").alias("ic"))
@@ -81,26 +90,29 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
       y -> CASE WHEN y.l + y.r >= {_REACH} THEN named_struct('first', p - y.l, 'end', p + {K} + y.r) END), 1) END), 1) END"""
     # no filter on runs: it would move into the join and take that out of generated code
     found = found.withColumn("run", F.expr(run))
-    out = found.select("doc_id", "_text", "n_words", F.when(F.col("run").isNotNull(), F.col("item_id")).alias("item_id"), "run.first", "run.end")
+    out = found.select("doc_id", "_text", "n_words", F.when(F.col("run").isNotNull(), F.col("item_id")).alias("item_id"), "run.first", "run.end", F.col("p").isNull().alias("own"))
 
     short = items.where(f"size(iw) BETWEEN 1 AND {SPAN - 1}").withColumn("m", F.size("iw"))
     lengths = sorted(r.m for r in short.select("m").distinct().collect())  # SPAN - 1 at most
     for m in lengths:
         runs = words.where(F.size("w") >= m).select("doc_id", "_text", "n_words", "w", F.explode_outer(F.sequence(F.lit(0), F.size("w") - m)).alias("p"))
         key = F.array_join(F.slice("w", F.col("p") + 1, F.lit(m)), " ")
-        one = short.where(F.col("m") == m).select("item_id", F.array_join("iw", " ").alias("key"))
-        one = F.broadcast(one) if one.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else one
-        out = out.unionByName(runs.select("doc_id", "_text", "n_words", "p", key.alias("key")).join(one, "key").select("doc_id", "_text", "n_words", "item_id", F.col("p").alias("first"), (F.col("p") + m).alias("end")))
+        mine = short.where(F.col("m") == m)
+        one = mine.select("item_id", F.array_join("iw", " ").alias("key"))
+        one = F.broadcast(one) if _small(mine, "iw") else one
+        out = out.unionByName(runs.select("doc_id", "_text", "n_words", "p", key.alias("key")).join(one, "key").select("doc_id", "_text", "n_words", "item_id", F.col("p").alias("first"), (F.col("p") + m).alias("end"), F.lit(False).alias("own")))
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: doc_id, _text, n_words, n_hit (words in the union of the shared runs),
+    """A row for each document: doc_id, _text, n_words, n_hit (words in the union of the shared runs),
     item_ids (distinct, sorted as strings) and contaminated."""
     runs = hits(docs, items).groupBy("doc_id", "_text", "n_words").agg(
         F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("first", "end")))).alias("_runs"),
         F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("item_ids"),
+        F.count_if("own").cast("int").alias("_rows"),
     )
+    runs = runs.select("*", F.explode(F.sequence(F.lit(1), "_rows")))
     n_hit = F.expr("aggregate(_runs, struct(0L AS n, 0 AS upto), (a, r) -> struct(a.n + greatest(0, r.end - greatest(r.first, a.upto)) AS n, greatest(a.upto, r.end) AS upto)).n")
     return runs.select("doc_id", "_text", "n_words", n_hit.alias("n_hit"), "item_ids").withColumn("contaminated", F.col("n_hit") > 0)
 
