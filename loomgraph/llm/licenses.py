@@ -2,16 +2,18 @@
 
 The hashes of all rolling K-word windows of all texts are joined to the places of the
 templates' windows (a constant table). A hit votes for its diagonal, the word place in the
-text less that in the template. Votes are gathered per (document, template, diagonal) as a
-bit mask of template places; neighbouring diagonals are merged, so a word put in or left
-out doesn't split a match; and a span is verified if the template words covered by equal
-words of the text are at least MIN_COVER of the template.
+text less that in the template. Votes are gathered per (document, template, diagonal) as the
+set of template places; neighbouring diagonals are merged, so a word put in or left out
+doesn't split a match; and a span is verified if the template words covered by equal
+words of the text are at least MIN_COVER of the template. Templates are notices of a line
+and whole licenses alike, of any length.
 
 Beside the templates, three fixed phrases are found word for word (``base``).
 
-Edge cases: null and empty texts have no words; rows of one doc_id and text are one document; ties
-cannot occur, as all results are counts, sets and extremes; an empty table gives no
-rows; other columns are ignored.
+Edge cases: null and empty texts have no words; texts may be as long as Spark takes them;
+rows of one doc_id and text are scanned once and come out as often as they came in; ties
+cannot occur, as all results are counts, sets and extremes; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from loomgraph.llm.common import plain_words, table
 K, NEAR, MIN_COVER = 3, 2, 0.8
 #: Phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label and wording, at most 62 words each; a label may have many wordings.
+#: Label and wording; a label may have many wordings.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -43,6 +45,45 @@ TEMPLATES = (
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        "or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "
+        "AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE "
+        "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+        "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER "
+        "IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented "
+        "as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
 )
 
 
@@ -76,7 +117,7 @@ def _base_places() -> str:
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, text): n_words, n_base, first_word, last_word, base_labels,
+    """A row for each document (doc_id, text): n_words, n_base, first_word, last_word, base_labels,
     labels, score (1 with a base phrase, else the best verified cover, else 0) and spans
     (label, first and end word, cover)."""
     words = docs.select("doc_id", F.xxhash64("text").alias("_text"), plain_words(F.col("text")).alias("w"))
@@ -92,19 +133,19 @@ def license_scan(docs: DataFrame) -> DataFrame:
     hit = probes.join(F.broadcast(template_index(docs.sparkSession)), "key", "left").where(own | same)
     doc = ["doc_id", "_text"]
     facts = ["n_words", "n_base", "first_word", "last_word", "base"]
-    hit = hit.select(*doc, F.when(own, F.struct(F.size("w").cast("long").alias("n_words"), *facts[1:])).alias("facts"), "t", "label", "m", "p", (F.col("p") - F.col("tp")).alias("diagonal"), F.expr("shiftleft(1L, tp)").alias("bit"))
+    hit = hit.select(*doc, F.when(own, F.struct(F.size("w").cast("long").alias("n_words"), *facts[1:])).alias("facts"), "t", "label", "m", "p", (F.col("p") - F.col("tp")).alias("diagonal"), "tp", own.alias("own"))
     # one exchange by document; all that follows groups within it
     hit = hit.repartition(*doc)
     kept = F.first("facts", ignorenulls=True).alias("facts")
-    votes = hit.groupBy(*doc, "t", "label", "m", "diagonal").agg(F.bit_or("bit").alias("bits"), F.min("p").alias("p"), (F.max("p") + K).alias("end"), kept)
+    votes = hit.groupBy(*doc, "t", "label", "m", "diagonal").agg(F.collect_set("tp").alias("tps"), F.min("p").alias("p"), (F.max("p") + K).alias("end"), F.count_if("own").alias("rows"), kept)
     row = Window.partitionBy(*doc, "t").orderBy("diagonal")
     votes = votes.withColumn("_new", (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(row), F.lit(-(1 << 31)).cast("long")) > NEAR).cast("int"))
-    spans = votes.withColumn("_run", F.sum("_new").over(row)).groupBy(*doc, "t", "label", "m", "_run").agg(F.bit_or("bits").alias("bits"), F.min("p").alias("first"), F.max("end").alias("end"), kept)
-    covered = " | ".join(f"shiftleft(bits, {o})" for o in range(K))
-    spans = spans.withColumn("cover", F.expr(f"bit_count({covered}) / m")).where(F.col("t").isNull() | (F.col("cover") >= MIN_COVER))
+    spans = votes.withColumn("_run", F.sum("_new").over(row)).groupBy(*doc, "t", "label", "m", "_run").agg(F.flatten(F.collect_list("tps")).alias("tps"), F.min("p").alias("first"), F.max("end").alias("end"), F.sum("rows").alias("rows"), kept)
+    covered = f"size(array_distinct(flatten(transform(tps, i -> sequence(i, i + {K - 1})))))"
+    spans = spans.withColumn("cover", F.expr(f"{covered} / m")).where(F.col("t").isNull() | (F.col("cover") >= MIN_COVER))
     found = F.collect_list(F.when(F.col("t").isNotNull(), F.struct("first", "end", "label", "cover")))
-    out = spans.groupBy(*doc).agg(kept, F.array_sort(found).alias("spans"), F.max("cover").alias("_best"))
-    out = out.select("doc_id", "facts.*", "spans", "_best")
+    out = spans.groupBy(*doc).agg(kept, F.array_sort(found).alias("spans"), F.max("cover").alias("_best"), F.sum("rows").cast("int").alias("rows"))
+    out = out.select("doc_id", "facts.*", "spans", "_best", F.explode(F.sequence(F.lit(1), "rows")))
     base = F.coalesce("base", F.array().cast("array<string>"))
     every = F.array_sort(F.array_distinct(F.concat(base, F.coalesce(F.col("spans.label"), F.array().cast("array<string>")))))
     return out.select(
