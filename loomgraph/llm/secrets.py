@@ -5,12 +5,17 @@ Candidates are found by pattern: runs of 16 or more key characters, dots between
 included, that hold a digit or begin as keys of known services do; whatever is assigned to
 a name with a secret word, of any length; and quoted values that are assigned to something. A
 forest, trained on labelled findings, judges each one by its length, character transitions
-and mix, dictionary coverage, path, and neighbouring words. The trained trees are compiled
-into SQL, so scoring is a projection: no join, no exchange, no Python.
+and mix, dictionary coverage, path, and the words before and after it. The trained trees are
+compiled into SQL, so scoring is a projection: no join, no exchange, no Python.
 
-Edge cases: null and empty texts have no candidates; equal candidates in a text are
-findings of their own; rows of one doc_id are scanned one by one; an empty table gives
-no findings; other columns are ignored, but for ``path`` where it is named.
+No table of labelled findings comes with the corpus. The findings to train on by default are
+made by rule (``labelled_findings``), so what the forest scores on those tells little; the
+tests measure precision and recall on documents. ``train_forest`` takes other findings.
+
+Edge cases: null and empty texts have no candidates; candidates and texts may have any
+length; equal candidates in a text are findings of their own; ties (a score of just
+THRESHOLD) are secrets; rows of one doc_id are scanned one by one; an empty table gives no
+findings; other columns pass through, also with clashing names (``findings`` is replaced).
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ HASH_WORDS = "commit|sha-?1|sha-?256|sha512|md5|digest|checksum|hash|etag|revisi
 #: finding is a secret.
 MAX_TRAINING_ROWS, TREES, DEPTH, THRESHOLD = 20_000, 15, 6, 0.5
 LEFT, RIGHT = 40, 16
-FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "covered", "secret_near", "hash_near", "assigned", "secret_path", "test_path", "known_prefix", "hex", "filler")
+FEATURES = ("length", "transitions", "digits", "uppers", "distinct", "covered", "secret_near", "hash_near", "assigned", "secret_path", "test_path", "known_prefix", "hex", "filler", "closed", "called")
 
 
 def features(c: str = "c") -> str:
@@ -73,6 +78,8 @@ def features(c: str = "c") -> str:
         "known_prefix": f"CAST({v} rlike '^({PREFIXES})' AS DOUBLE)",
         "hex": f"CAST({v} rlike '^([0-9a-f]+|[0-9A-F]+)$' AND {v} rlike '[A-Fa-f]' AS DOUBLE)",
         "filler": f"CAST({v} rlike '(?i)(x{{4,}}|example|your|changeme|placeholder|dummy|0{{6,}}|123456)' AS DOUBLE)",
+        "closed": f"CAST({c}.before rlike '[\"\\']$' AND left({c}.after, 1) = right({c}.before, 1) AS DOUBLE)",
+        "called": f"CAST({c}.after rlike '^[(\\\\[.]' OR {v} rlike '[(]' AS DOUBLE)",
     }
     assert tuple(parts) == FEATURES
     return "named_struct(" + ", ".join(f"'{k}', {x}" for k, x in parts.items()) + ")"
@@ -114,13 +121,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     before_plain = ["see ", "the ", "in ", "und ", "de ", "call ", "card ", "order ", "la ", "of ", "at ", "page ", ""]
     case = lambda xs, salt: "CASE " + " ".join(f"WHEN pmod(xxhash64(id, {salt}), {len(xs)}) = {i} THEN {x}" for i, x in enumerate(xs)) + " END"
     fillers = f"pmod(xxhash64(id, 2), {len(negative)}) IN (7, 9, 12, 13, 14, 15, 16)"
-    return spark.range(min(rows, MAX_TRAINING_ROWS)).selectExpr(
+    made = spark.range(min(rows, MAX_TRAINING_ROWS)).selectExpr(
         "CAST(pmod(id, 2) AS DOUBLE) AS label", f"CASE WHEN pmod(id, 2) = 1 THEN {case(positive, 1)} ELSE {case(negative, 2)} END AS value",
-        f"""CASE WHEN pmod(id, 2) = 1 THEN {one(before_positive, 3)} WHEN {fillers} THEN {one(before_near, 3)}
+        f"""CASE WHEN pmod(id, 2) = 1 AND pmod(xxhash64(id, 1), {len(positive)}) IN (2, 3, 4, 7, 10, 13) AND pmod(xxhash64(id, 41), 2) = 0 THEN {one(before_plain, 3)}
+             WHEN pmod(id, 2) = 1 THEN {one(before_positive, 3)} WHEN {fillers} THEN {one(before_near, 3)}
              WHEN pmod(xxhash64(id, 2), {len(negative)}) IN (0, 4, 6, 10) THEN {one(before_hash, 3)} ELSE {one(before_plain, 3)} END AS before""",
-        one(['"', " ", "", '" '], 6) + " AS after",
+        f"""CASE WHEN pmod(id, 2) = 0 AND {fillers} AND pmod(xxhash64(id, 40), 3) = 0 THEN {one(["()", "(", ".get", "[0]"], 39)} ELSE {one([" ", "", ",", ";", "\\n"], 6)} END AS after""",
         f"CASE WHEN pmod(id, 2) = 1 THEN {one(['app.env', 'config.yml', '', '', ''], 4)} ELSE {one(['tests/test_a.py', 'docs/readme', '', '', ''], 4)} END AS path",
     )
+    return made.selectExpr("label", "value", "before", """CASE WHEN before rlike '["\\']$' AND after <> '(' THEN concat(right(before, 1), after) ELSE after END AS after""", "path")
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> str:
@@ -157,40 +166,42 @@ def _default_forest(spark: SparkSession) -> str:
 
 def scan(docs: DataFrame, forest: str | None = None, path: str | None = None) -> DataFrame:
     """docs with ``findings``: an array of (value, start, score, is_secret) of all
-    candidates in ``text``, by place (code points from 0)."""
+    candidates in ``text``, by place (code points from 0). ``path`` names a column that says
+    where a text comes from."""
     forest = forest or _default_forest(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    pattern = F.lit(CANDIDATE)
-    out = docs.withColumn("_found", F.regexp_extract_all(text, pattern, F.lit(0)))
+    own = [c for c in docs.columns if c != "findings"]
+    where = F.col(f"`{path}`").cast("string") if path else F.lit(None).cast("string")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"), where.alias("path"))
+    out = out.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
     # most texts have no candidate: they are not cut
-    out = out.withColumn("_cut", F.when(F.size("_found") > 0, F.split(text, CANDIDATE, -1)))
-    where = f"CAST({path} AS STRING)" if path else "CAST(NULL AS STRING)"
+    out = out.withColumn("cut", F.when(F.size("found") > 0, F.split("text", CANDIDATE, -1)))
     findings = F.expr(f"""
-      CASE WHEN size(_found) > 0 THEN
+      CASE WHEN size(found) > 0 THEN
       transform(
        transform(
-        transform(_found, (v, i) -> named_struct('value', v, 'before', right(IF(i > 0, concat(right(_found[i - 1], {LEFT}), _cut[i]), _cut[i]), {LEFT}), 'after', left(_cut[i + 1], {RIGHT}), 'path', {where},
-          'start', aggregate(slice(_cut, 1, i + 1), 0L, (a, x) -> a + char_length(x)) + aggregate(slice(_found, 1, i), 0L, (a, x) -> a + char_length(x)))),
+        transform(found, (v, i) -> named_struct('value', v, 'before', right(IF(i > 0, concat(right(found[i - 1], {LEFT}), cut[i]), cut[i]), {LEFT}), 'after', left(cut[i + 1], {RIGHT}), 'path', path,
+          'start', aggregate(slice(cut, 1, i + 1), 0L, (a, x) -> a + char_length(x)) + aggregate(slice(found, 1, i), 0L, (a, x) -> a + char_length(x)))),
         c -> named_struct('c', c, 'f', {features('c')})),
        x -> element_at(transform(array(x.f), f -> named_struct('value', x.c.value, 'start', x.c.start, 'score', {forest}, 'is_secret', {forest} >= {THRESHOLD}D)), 1))
       ELSE array() END""")
-    return out.withColumn("findings", findings).drop("_found", "_cut")
+    return out.select("row.*", findings.alias("findings"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", forest: str | None = None) -> DataFrame:
-    """docs with every secret in ``text`` replaced by ``mark``, and copies of those of 8 or
-    more characters wherever else they stand; all else is left alone."""
+def redact(docs: DataFrame, mark: str = "[secret]", forest: str | None = None, path: str | None = None) -> DataFrame:
+    """docs with every secret in ``text`` replaced by ``mark``, by its place: the same
+    characters elsewhere, and all else, are left alone. Null texts stay null."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", (F.col(f"`{path}`") if path else F.lit(None)).cast("string").alias("path"))
     placed = F.expr(f"""
       CASE WHEN exists(findings, x -> x.is_secret) THEN aggregate(filter(findings, x -> x.is_secret), named_struct('at', 0L, 'out', ''),
         (a, x) -> named_struct('at', x.start + char_length(x.value), 'out', concat(a.out, substr(text, CAST(a.at + 1 AS INT), CAST(x.start - a.at AS INT)), '{mark}')),
         a -> concat(a.out, substr(text, CAST(a.at + 1 AS INT)))) ELSE text END""")
-    copies = f"aggregate(array_distinct(transform(filter(findings, x -> x.is_secret AND char_length(x.value) >= 8), x -> x.value)), text, (t, v) -> replace(t, v, '{mark}'))"
-    return scan(docs, forest).withColumn("text", placed).withColumn("text", F.expr(copies)).drop("findings")
+    clean = scan(whole, forest, "path").select("row", placed.alias("clean"))
+    return clean.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of all documents: doc_id, start, n_chars, sha256 of the value, score,
     is_secret (the values themselves are left out of the report)."""
-    got = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode("findings").alias("x"))
+    got = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source").select("doc_id", F.explode("findings").alias("x"))
     value: Column = F.col("x.value")
     return got.select("doc_id", F.col("x.start").alias("start"), F.char_length(value).cast("long").alias("n_chars"), F.sha2(value, 256).alias("value_sha256"), F.col("x.score").alias("score"), F.col("x.is_secret").alias("is_secret"))
