@@ -1,19 +1,25 @@
 """Quality rules as a short-circuit cascade (operator 5), in DataFrame functions only.
 
-Every rule is a reject predicate over statistics of one document. The cascade measures on
-a bounded sample what each rule costs and how much it rejects, puts the rules with the
-most rejections per cost first, and compiles them into one ``CASE``: a document that an
-early rule rejects never pays for the later ones. The order changes the cost, never the
-verdict. Nothing is shuffled.
-
-Edge cases: a null or empty text has no words and is rejected by ``few_words``; repeated
-rows are judged one by one; an empty table gives an empty result; other columns pass
-through (statistics replace columns of the same name).
+Every rule is a reject predicate over statistics of one document. The cascade estimates on a
+sample what each rule costs and how much it rejects, puts the rules with the most rejections
+per cost first, and compiles them into one ``CASE``: a document that an early rule rejects
+never pays for the later ones. The order changes the cost and which rule is named, never the
+verdict. Nothing is shuffled but the sums of the sample.
+
+The sample is random by a hash of the text, about SAMPLE_ROWS rows of all; Spark adds up
+the rejections and the work, and only these sums reach the driver. Work is counted by the
+cost model of each statistic (nanoseconds by bytes and words), not by the clock, so that
+reruns agree.
+
+Edge cases: a null or empty text has no words and is rejected by ``few_words``; very long
+texts are judged whole; ties in the order keep the order of the rules; repeated rows are
+judged one by one; an empty table gives an empty result; other columns pass through, also
+with clashing names (statistics replace columns of the same name).
 """
 
 from __future__ import annotations
 
-import time
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +37,9 @@ class Rule:
     needs: tuple[str, ...]
 
 
-#: The last four reject nothing that reads like prose: word lengths of natural languages,
-#: a symbol in every fourth word at most, few repeated lines.
+#: All but the first two reject nothing that reads like prose: word lengths of natural
+#: languages, a symbol in every fourth word at most, few repeated lines, letters in half of
+#: the words at least, and lines that neither break off nor are all items of lists.
 RULES = (
     Rule("few_words", "n_words < 50", ("n_words",)),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words", ("n_repeat_words", "n_words")),
@@ -40,9 +47,12 @@ RULES = (
     Rule("long_words", "word_chars > 20 * n_words", ("word_chars", "n_words")),
     Rule("symbols", "4 * n_symbols > n_words", ("n_symbols", "n_words")),
     Rule("repeated_lines", "n_dup_lines > 10 AND 2 * n_dup_lines > n_lines", ("n_dup_lines", "n_lines")),
+    Rule("few_letters", "2 * n_letter_words < n_words", ("n_letter_words", "n_words")),
+    Rule("broken_lines", "n_broken_lines > 3 AND 10 * n_broken_lines > 3 * n_lines", ("n_broken_lines", "n_lines")),
+    Rule("list_lines", "n_list_lines > 10 AND 10 * n_list_lines > 9 * n_lines", ("n_list_lines", "n_lines")),
 )
 BASE = ("few_words", "repeated_windows")
-SAMPLE_ROWS = 512
+SAMPLE_ROWS = 2_000
 
 _LINES = "filter(split(_text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
 #: Words inside 3-word windows that occur twice: hash the windows; only where two hashes
@@ -65,59 +75,67 @@ STATS = {
     "n_lines": f"CAST(size({_LINES}) AS BIGINT)",
     "n_dup_lines": f"element_at(transform(array({_LINES}), l -> CAST(size(l) - size(array_distinct(l)) AS BIGINT)), 1)",
     "n_repeat_words": _REPEATS,
+    "n_letter_words": "CAST(size(filter(_words, w -> w rlike '\\\\p{L}')) AS BIGINT)",
+    "n_broken_lines": f"CAST(size(filter({_LINES}, l -> l rlike '([.]{{3}}|…)[\\\\x20\\\\x09-\\\\x0D]*\\\\z')) AS BIGINT)",
+    "n_list_lines": f"CAST(size(filter({_LINES}, l -> l rlike '^[\\\\x20\\\\x09-\\\\x0D]*[-*•]')) AS BIGINT)",
+}
+#: Nanoseconds that a statistic takes, about: by bytes of the text and by words. Only their
+#: proportions matter.
+COSTS = {
+    "n_words": "1", "word_chars": "octet_length(_text) + 10 * size(_words)", "n_symbols": "6 * octet_length(_text)", "n_lines": "4 * octet_length(_text)", "n_dup_lines": "5 * octet_length(_text)",
+    "n_repeat_words": "180 * size(_words)", "n_letter_words": "90 * size(_words)", "n_broken_lines": "6 * octet_length(_text)", "n_list_lines": "5 * octet_length(_text)",
 }
 
 
-def _prepared(docs: DataFrame, text: str) -> DataFrame:
+def _prepared(docs: DataFrame, text: str, known: tuple[str, ...] = ()) -> DataFrame:
+    """The rows as a struct, the text, its words, and the statistics that are known anyway."""
     c = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_text": c, "_words": blank_words(c)})
+    out = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"), c.alias("_text"), blank_words(c).alias("_words"))
+    return out.withColumns({k: F.expr(STATS[k]) for k in known})
 
 
-def _predicate(rule: Rule, lazy: bool) -> str:
-    """The rule over columns that are there, or (lazy) with its statistics written out."""
+def _predicate(rule: Rule, known: tuple[str, ...] = ()) -> str:
+    """The rule with the statistics that aren't known written out."""
     sql = rule.reject
-    if lazy:
-        for name in sorted(rule.needs, key=len, reverse=True):
-            sql = sql.replace(name, f"({STATS[name]})")
+    for name in sorted(set(rule.needs) - set(known), key=len, reverse=True):
+        sql = re.sub(rf"\b{name}\b", lambda _, name=name: f"({STATS[name]})", sql)
     return sql
 
 
-def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, rejected share) on the first ``rows`` rows that Spark reads, the
-    rules with the highest rejected share per second first; equal ones keep their order."""
-    # rows of the first partitions, through the driver: limit() would read all partitions, for every rule
-    taken = [(r[0],) for r in docs.select(text).take(rows)]
-    sample = _prepared(docs.sparkSession.createDataFrame(taken, docs.select(text).schema), text)
-    shares = sample.select(*[F.avg(F.coalesce(F.expr(_predicate(r, True)), F.lit(False)).cast("double")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
-    out = []
+def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
+    """(rule, mean cost, rejected share) on a random sample of about ``rows`` rows, the rules
+    with the highest rejected share per cost first; equal ones keep their order."""
+    every = max(1, docs.count() // rows)
+    sample = _prepared(docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0), "text", known)
+    sums = []
     for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        sample.select(F.count_if(F.expr(_predicate(rule, True)))).first()
-        out.append((rule, max(time.perf_counter() - began, 1e-6), float(shares[i] or 0.0)))
+        cost = " + ".join(["1", *(f"({COSTS[s]})" for s in rule.needs if s not in known)])
+        sums += [F.avg(F.expr(cost).cast("double")).alias(f"c{i}"), F.avg(F.coalesce(F.expr(_predicate(rule, known)), F.lit(False)).cast("double")).alias(f"r{i}")]
+    got = sample.agg(*sums).first()
+    out = [(rule, float(got[f"c{i}"] or 1.0), float(got[f"r{i}"] or 0.0)) for i, rule in enumerate(rules)]
     return sorted(out, key=lambda x: -x[2] / x[1])
 
 
-def _cascade(rules: list[Rule], lazy: bool) -> Column:
-    whens = " ".join(f"WHEN {_predicate(r, lazy)} THEN '{r.name}'" for r in rules)
+def _cascade(rules: list[Rule], known: tuple[str, ...]) -> Column:
+    whens = " ".join(f"WHEN {_predicate(r, known)} THEN '{r.name}'" for r in rules)
     return F.expr(f"CASE {whens} END")
 
 
-def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", stats: bool = False, order: list[Rule] | None = None) -> DataFrame:
-    """docs with ``failed_rule`` (the first of the measured order that rejects, else null)
-    and ``kept``. With ``stats`` all statistics are columns too, and the rules read those;
-    without, each is computed only where the cascade gets to it."""
-    order = order or [r for r, _, _ in rank_rules(docs, rules, text)]
-    out = _prepared(docs, text)
-    if stats:
-        out = out.withColumns({k: F.expr(v) for k, v in STATS.items()})
-    out = out.withColumn("failed_rule", _cascade(order, not stats))
-    return out.withColumn("kept", F.col("failed_rule").isNull()).drop("_text", "_words")
+def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", stats: tuple[str, ...] = (), order: list[Rule] | None = None) -> DataFrame:
+    """docs with ``failed_rule`` (the first of the estimated order that rejects, else null)
+    and ``kept``. ``stats`` names statistics that become columns; the cascade reads those and
+    computes any other only for the documents that get to a rule with it."""
+    order = order or [r for r, _, _ in rank_rules(docs, rules, text, known=stats)]
+    out = _prepared(docs, text, stats).withColumn("failed_rule", _cascade(order, stats))
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (*stats, "failed_rule", "kept")]
+    return out.select(*own, *stats, "failed_rule", F.col("failed_rule").isNull().alias("kept"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), stats=True)
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    out = quality_cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), stats=asked)
     base = F.expr(" OR ".join(f"({r.reject})" for r in RULES if r.name in BASE))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    return out.select("doc_id", *asked, base.alias("base_failed"), "kept")
 
 
 OP5_SQL = r"""
@@ -134,12 +152,15 @@ WITH d AS (
 ), s AS (
   SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words, len(list_filter(ls, lambda x: regexp_matches(x, '([.]{3}|…)[\x20\x09-\x0D]*\z'))) AS n_broken_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_list_lines
   FROM l LEFT JOIN rep ON l.doc_id = rep.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-    OR 4 * n_symbols > n_words OR (n_dup_lines > 10 AND 2 * n_dup_lines > n_lines)) AS kept
+    OR 4 * n_symbols > n_words OR (n_dup_lines > 10 AND 2 * n_dup_lines > n_lines) OR 2 * n_letter_words < n_words
+    OR (n_broken_lines > 3 AND 10 * n_broken_lines > 3 * n_lines) OR (n_list_lines > 10 AND 10 * n_list_lines > 9 * n_lines)) AS kept
 FROM s
 """
