@@ -1,7 +1,8 @@
 """Language ID by interpolated Kneser-Ney character models (operator 10).
 
-One model of order ORDER per language, over texts in which case is folded, marks within
-words stay, and any run of other characters is one space. The counts of all training texts
+One model of order ORDER per language, over texts in which case is folded, letters and marks
+(Unicode categories L and M, in composed form) stay, and any run of other characters is one
+space. The counts of all training texts
 are summed by Spark (per task first, then by n-gram), and Spark makes the model of all of
 them: continuation counts, context totals, discounts and probabilities are joins and
 windows. The model is written to the shared folder as sorted arrays, in shards by key that
@@ -15,17 +16,18 @@ calibrated. A text is rejected if its cross-entropy is far above that of the lan
 training texts (mean plus REJECT_SDS standard deviations, over all of them, and
 REJECT_MARGIN), or if it has no letter.
 
-Edge cases: null, empty and letterless texts are ``und`` with score 0 and rejected; ties go
-to the first language in code point order; repeated rows are judged one by one; with no
-labelled text at all everything is ``und``; an empty table gives no rows; other columns
-pass through (columns of the result's names are replaced).
+Edge cases: null, empty and letterless texts (digits, fractions and marks alone are no
+letters) are ``und`` with score 0 and rejected; very long texts are read in pieces, cut at a
+space; ties go to the first language in code point order; repeated rows are judged one by
+one; with no labelled text at all everything is ``und``; an empty table gives no rows; other
+columns pass through (columns of the result's names are replaced).
 """
 
 from __future__ import annotations
 
 import atexit
 import functools
-import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,20 +49,51 @@ HELD_GRAMS, SHARD_ROWS = 600_000, 1_000_000
 EVIDENCE = 40.0
 REJECT_SDS, REJECT_MARGIN = 6.0, 1.5
 CHUNK_CHARS = 1 << 19
-_OTHER = re.compile(r"[^\w]|[\d_]")  # of Python's str: all but letters and marks in words
 _U = np.uint64
+_tables: dict[str, np.ndarray] = {}
+
+
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    """2 for letters, 1 for marks, else 0."""
+    if "kinds" not in _tables:
+        _tables["kinds"] = np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in range(1 << 16)], np.uint8)
+    out = _tables["kinds"][np.minimum(codes, 0xFFFF)]  # U+FFFF is no character
+    high = np.flatnonzero(codes > 0xFFFF)
+    if len(high):
+        distinct, back = np.unique(codes[high], return_inverse=True)
+        out[high] = np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(i))[0], 0) for i in distinct.tolist()], np.uint8)[back]
+    return out
 
 
 def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The characters of the texts, each folded and between spaces, and where each begins."""
-    lengths, parts = [], []
-    for t in texts:
-        clean = " ".join(_OTHER.sub(" ", (t or "").lower()).split())
-        clean = f" {clean} " if clean else ""
-        parts.append(clean)
-        lengths.append(len(clean))
-    codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
-    return (codes & 0xFFFF).astype(_U), np.concatenate(([0], np.cumsum(lengths)))
+    """The characters of the texts, each folded and between spaces, and where each begins.
+    Those beyond 16 bits take the codes between that no letter has, by remainder."""
+    folded = [f" {unicodedata.normalize('NFC', t).lower()} " if t else "" for t in texts]
+    raw = np.frombuffer("".join(folded).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(x) for x in folded], np.int64)
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    kinds = _kinds(raw)
+    word = kinds > 0
+    # of a run of other characters the first one stays, as a space
+    keep = word | np.concatenate(([True], word[:-1] | (doc[1:] != doc[:-1])))[: len(raw)]
+    keep &= (np.bincount(doc, kinds == 2, len(texts)) > 0)[doc]
+    codes = np.where(word, raw, 32)[keep]
+    codes = np.where(codes > 0xFFFF, 0xD800 + codes % (0xF900 - 0xD800), codes)
+    return codes.astype(_U), np.concatenate(([0], np.cumsum(np.bincount(doc, keep, len(texts)).astype(np.int64))))
+
+
+def _pieces(texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
+    """The texts with those of over CHUNK_CHARS cut at spaces, and the text of each piece."""
+    out, owner = [], []
+    for i, t in enumerate(texts):
+        at = 0
+        while t and len(t) - at > CHUNK_CHARS and (cut := t.find(" ", at + CHUNK_CHARS)) >= 0:
+            out.append(t[at:cut])
+            owner.append(i)
+            at = cut
+        out.append(t[at:] if t and at else t)
+        owner.append(i)
+    return out, np.array(owner, np.int64)
 
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -218,6 +251,15 @@ class Model:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) cross-entropies in nats a character, and characters scored."""
+        parts, owner = _pieces(texts)
+        if len(parts) > len(texts):
+            sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+            for s, e in _runs(parts):
+                h, c = self.entropies(parts[s:e])
+                np.add.at(sums, owner[s:e], np.where(c[:, None] > 0, h * c[:, None], 0.0))
+                np.add.at(counts, owner[s:e], c)
+            with np.errstate(invalid="ignore"):
+                return sums / counts[:, None], counts
         codes, begins = _codes(texts)
         n_docs = len(begins) - 1
         sums, counts = np.zeros((n_docs, len(self.languages))), np.zeros(n_docs)
