@@ -68,7 +68,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTA
     digits = range_digits(docs.count())
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     keyed = docs.select(
-        *own,
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
+        F.col("doc_id").alias("_id"),
         n_words(F.col("text")).alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_src"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key"),
@@ -79,12 +80,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTA
     offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     targets = targets.withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col("src")), F.lit(""))).drop("src")
     offsets = offsets.join(targets, "_src")
-    inside = Window.partitionBy("_src", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_src", "_range").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(offsets, ["_src", "_range"]).withColumn("_start", F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     taken = F.expr("""CASE WHEN source_size = 0 THEN 0L ELSE
       size * CAST(floor(target / source_size) AS BIGINT)
       + least(size, greatest(0L, CAST(floor(target - floor(target / source_size) * source_size) AS BIGINT) - _start)) END""")
-    return placed.select(*own, "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("_row.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
