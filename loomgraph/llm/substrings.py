@@ -265,37 +265,48 @@ def _index(parts: int):
     return lambda batches: _batches(rows(batches), _BLOCKS_AND_PROBES)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Pass A, over the parts: the hashes by which documents have hits."""
-    keys, docs, prints = ([], []), ([], []), ([], [])
+def _by_part(batches: Iterator[pa.RecordBatch], settled: int, schema: pa.Schema, parts: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+    """Hands on the rows of the kind that is settled, and gathers the others by part."""
     for b in batches:
         known = []
         for r in b.to_pylist():
-            if r["kind"] == 2:
+            if r["kind"] == settled:
                 known.append([r["part"], *(r[x] for x in ("ids", "prints", "counts", "values"))])
-                continue
-            counts = np.frombuffer(r["counts"], np.uint32)
-            keys[r["kind"]].append(np.frombuffer(r["values"], np.uint32).astype(_U) | _U(r["part"] << 32))
-            docs[r["kind"]].append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
-            prints[r["kind"]].append(np.repeat(np.frombuffer(r["prints"], np.int64), counts))
-        yield from _batches(iter(known), _HITS)
-    if not keys[0] or not keys[1]:
-        return
-    block, owner, probe, prober = (np.concatenate(x) for x in (keys[0], docs[0], keys[1], docs[1]))
-    order = np.argsort(block, kind="stable")
-    known, first, back = np.unique(block[order], return_index=True, return_inverse=True)
-    smallest = np.minimum.reduceat(owner[order], first)
-    largest = np.full(len(known), np.iinfo(np.int64).min)
-    i = np.minimum(np.searchsorted(known, probe), len(known) - 1)
-    there = known[i] == probe
-    np.maximum.at(largest, i[there], prober[there])
-    hit = there & (smallest[i] < prober)
-    number = np.empty(len(block), np.int64)  # of a block's hash
-    number[order] = back
-    owns = owner < largest[number]
-    own_prints, prints = np.concatenate(prints[0]), np.concatenate(prints[1])
-    ids = np.concatenate((prober[hit], owner[owns]))
-    yield from _batches(_by_document(parts, ids, np.concatenate((prints[hit], own_prints[owns])), _short(np.concatenate((probe[hit], block[owns])))), _HITS)
+            else:
+                parts.setdefault(r["part"], []).append(r)
+        yield from _batches(iter(known), schema)
+
+
+def _columns(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, prints) of the documents of all rows, and for each entry its document."""
+    ids, prints, counts = (np.frombuffer(b"".join(r[x] for r in rows), t) for x, t in (("ids", np.int64), ("prints", np.int64), ("counts", np.uint32)))
+    return ids, prints, np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Pass A, over the parts: the hashes by which documents have hits."""
+    held: dict[int, list[dict]] = {}
+    yield from _by_part(batches, 2, _HITS, held)
+    while held:
+        _, rows = held.popitem()
+        sides = [[r for r in rows if r["kind"] == kind] for kind in (0, 1)]
+        del rows
+        if not sides[0] or not sides[1]:
+            continue
+        block, probe = (np.frombuffer(b"".join(r["values"] for r in x), np.uint32) for x in sides)
+        (own_ids, own_prints, own_doc), (ids, prints, doc) = map(_columns, sides)
+        del sides
+        known, number = np.unique(block, return_inverse=True)
+        smallest, largest = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(smallest, number, own_ids[own_doc])
+        i = np.minimum(np.searchsorted(known, probe), len(known) - 1)
+        there = np.flatnonzero(known[i] == probe)
+        i, who, probe = i[there], doc[there], probe[there]
+        np.maximum.at(largest, i, ids[who])
+        hit, owns = smallest[i] < ids[who], own_ids[own_doc] < largest[number]
+        who, own_doc = who[hit], own_doc[owns]
+        out = [np.concatenate(x) for x in ((ids[who], own_ids[own_doc]), (prints[who], own_prints[own_doc]), (probe[hit], block[owns]))]
+        yield from _batches(_by_document(parts, *out), _HITS)
 
 
 def _hits_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,22 +363,16 @@ def _smaller(x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _settle_windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Pass B, over the parts: the windows that start in a smaller document too."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for batch in batches:
-        known = []
-        for r in batch.to_pylist():
-            if r["kind"] == 1:
-                known.append([r["part"], *(r[c] for c in ("ids", "prints", "counts", "values"))])
-                continue
-            counts = np.frombuffer(r["counts"], np.uint32)
-            for c, v in zip(columns, (np.repeat(np.frombuffer(r["ids"], np.int64), counts), np.repeat(np.frombuffer(r["prints"], np.int64), counts), np.frombuffer(r["values"], np.uint32), np.frombuffer(r["a"], _U), np.frombuffer(r["b"], _U)), strict=True):
-                c.append(v)
-        yield from _batches(iter(known), _GONE)
-    if not columns[0]:
-        return
-    ids, prints, places, x, y = (np.concatenate(c) for c in columns)
-    gone = _smaller(x, y, ids)
-    yield from _batches(_by_document(parts, ids[gone], prints[gone], places[gone]), _GONE)
+    held: dict[int, list[dict]] = {}
+    yield from _by_part(batches, 1, _GONE, held)
+    while held:
+        _, rows = held.popitem()
+        ids, prints, doc = _columns(rows)
+        places, x, y = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("values", np.uint32), ("a", _U), ("b", _U)))
+        del rows
+        gone = _smaller(x, y, ids[doc])
+        doc = doc[gone]
+        yield from _batches(_by_document(parts, ids[doc], prints[doc], places[gone]), _GONE)
 
 
 def _runs_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
