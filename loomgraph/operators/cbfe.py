@@ -37,7 +37,7 @@ def merit(sim: Column, central_1: Column, central_2: Column) -> Column:
 def bridge_rank(pairs: DataFrame) -> DataFrame:
     """pairs (campaign, u, v, sim, c_u, c_v, total) with merit and rank: by merit, then cost,
     then names."""
-    m = pairs.withColumn("merit", merit(F.col("sim"), F.col("c_u"), F.col("c_v")))
+    m = pairs.withColumn("merit", F.round(merit(F.col("sim"), F.col("c_u"), F.col("c_v")), 9))
     return m.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("merit"), "total", "u", "v")))
 
 

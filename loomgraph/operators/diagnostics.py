@@ -89,8 +89,9 @@ def _largest(names: list[str], u, v) -> int:
 
 def summarize(vertices: DataFrame, selected: DataFrame, model: CostModel | None = None) -> DataFrame:
     """All of the above but the trials, with diameter, short cycles, bridges and coverage."""
-    cover = G.cycle_cover(vertices, selected).groupBy(KEY).agg(F.count_if("is_bridge").alias("bridges"), F.avg((~F.col("is_bridge")).cast("double")).alias("edge_cycle_coverage"))
-    on = G.on_cycle(vertices, selected).groupBy(KEY).agg(F.avg(F.col("on_cycle").cast("double")).alias("node_cycle_coverage"))
+    edges = G.settle(G.cycle_cover(vertices, selected))
+    cover = edges.groupBy(KEY).agg(F.count_if("is_bridge").alias("bridges"), F.avg((~F.col("is_bridge")).cast("double")).alias("edge_cycle_coverage"))
+    on = G.on_cycle(vertices, selected, edges).groupBy(KEY).agg(F.avg(F.col("on_cycle").cast("double")).alias("node_cycle_coverage"))
     out = costs(vertices, selected)
     for x in (gpu_hours(vertices, selected, model), degree_summary(vertices, selected), edge_budget_advice(vertices, selected).drop("n_edges"), G.diameter(vertices, selected), G.short_cycles(vertices, selected), cover, on):
         out = out.join(x, KEY, "left")

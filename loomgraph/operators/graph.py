@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import selection as S
@@ -22,15 +23,28 @@ from loomgraph.operators.pairs import KEY, fresh
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes a round's table to the shared folder (spark.checkpoint.dir, else one beside the
-    warehouse) and reads it back, so that a loop's plan doesn't grow and lost executors cost
-    one round. The folder goes when the driver ends."""
+    """Writes a round's table to the shared folder (spark.checkpoint.dir; on one machine, where
+    that is unset, one beside the warehouse) and reads it back, so that a loop's plan doesn't
+    grow and lost executors cost one round. The folder goes when the driver ends, or before by
+    ``forget``."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds"
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again."""
+    for x in tables:
+        _remove(x.sparkSession, x.settled_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -63,7 +77,9 @@ def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFra
         around = both.join(labels.select(KEY, F.col("name").alias("b"), "component"), [KEY, "b"]).groupBy(KEY, F.col("a").alias("name")).agg(F.min("component").alias("_near"))
         new = labels.join(around, [KEY, "name"], "left").select(KEY, "name", F.least("component", "_near").alias("component"))
         jump = new.select(KEY, F.col("name").alias("component"), F.col("component").alias("_next"))
-        labels = settle(new.join(jump, [KEY, "component"], "left").select(KEY, "name", F.least("component", "_next").alias("component")))
+        older, labels = labels, settle(new.join(jump, [KEY, "component"], "left").select(KEY, "name", F.least("component", "_next").alias("component")))
+        if before is not None:
+            forget(older)
         now = labels.agg(F.count("*"), F.sum(F.xxhash64(KEY, "name", "component").cast("decimal(38,0)"))).first()
         if now == before:
             return labels
@@ -71,28 +87,54 @@ def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFra
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def spanning_forest(vertices: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
-    """The minimum spanning forest of edges (campaign, u, v, weight), ties by names, in rounds:
-    every component takes its cheapest outgoing edge, then components merge."""
-    labels = vertices.select(KEY, "name", F.col("name").alias("component"))
-    chosen = None
-    for _ in range(most):
-        lab = [labels.select(KEY, F.col("name").alias(x), F.col("component").alias(f"c_{x}")) for x in ("u", "v")]
-        out = edges.join(lab[0], [KEY, "u"]).join(lab[1], [KEY, "v"]).where("c_u <> c_v")
-        sides = out.select(KEY, "u", "v", "weight", F.explode(F.array("c_u", "c_v")).alias("component"))
-        pick = settle(sides.groupBy(KEY, "component").agg(F.min(F.struct("weight", "u", "v")).alias("x")).select(KEY, "x.u", "x.v", "x.weight").distinct())
+def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The minimum spanning forest of edges (campaign, u, v, weight), ties by names, by rounds of
+    contraction: every component takes its cheapest edge, components that are joined become one,
+    and of the edges between two of them only the cheapest goes on. Each round halves the
+    components at least, and the edges shrink with them."""
+    known = vertices.select(KEY, "name")
+    left = edges.select(KEY, "u", "v", "weight").where("u <> v")
+    for x in ("u", "v"):
+        left = left.join(known.withColumnRenamed("name", x), [KEY, x], "left_semi")
+    left = settle(left.select(KEY, F.col("u").alias("a"), F.col("v").alias("b"), F.struct("weight", "u", "v").alias("edge")))
+    chosen = []
+    while True:
+        ways = left.select(KEY, "edge", F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to")), F.struct(F.col("b").alias("at"), F.col("a").alias("to")))).alias("x")).select(KEY, "x.*", "edge")
+        pick = settle(ways.groupBy(KEY, "at").agg(F.min_by("to", "edge").alias("to"), F.min("edge").alias("edge")))
         if pick.isEmpty():
             break
-        chosen = pick if chosen is None else chosen.union(pick)
-        labels = components(vertices, chosen)
-    if chosen is None:
+        chosen.append(pick.select(KEY, "edge.u", "edge.v", "edge.weight"))
+        # edges are in strict order, so only two components that pick the same edge form a ring
+        back = pick.select(KEY, F.col("at").alias("to"), F.col("to").alias("_back"))
+        up = pick.join(fresh(back), [KEY, "to"], "left").select(KEY, "at", F.when((F.col("_back") == F.col("at")) & (F.col("at") < F.col("to")), F.col("at")).otherwise(F.col("to")).alias("up"))
+        up = _roots(settle(up))
+        moved = left
+        for x in ("a", "b"):
+            moved = moved.join(fresh(up.select(KEY, F.col("at").alias(x), F.col("up").alias(f"_{x}"))), [KEY, x], "left").withColumn(x, F.coalesce(f"_{x}", x)).drop(f"_{x}")
+        moved = moved.where("a <> b").groupBy(KEY, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("edge").alias("edge"))
+        older, left = left, settle(moved.select(KEY, "a", "b", "edge"))
+        forget(older, up)
+    if not chosen:
         return edges.select(KEY, "u", "v", "weight").limit(0)
-    return chosen.distinct()
-
-
-def cheapest_path_bottleneck(edges: DataFrame) -> DataFrame:
-    """Edges with rank by (weight, names) in their campaign: the order of a spanning tree."""
-    return edges.withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy("weight", "u", "v")))
+    out = chosen[0]
+    for x in chosen[1:]:
+        out = out.union(x)
+    return out.distinct()
+
+
+def _roots(up: DataFrame) -> DataFrame:
+    """(campaign, at, up) with up the root: steps of double length until none moves. A written
+    table comes in and goes out; depths are the logarithm of the longest way."""
+    while True:
+        nxt = up
+        for _ in range(2):
+            nxt = nxt.join(fresh(up.select(KEY, F.col("at").alias("up"), F.col("up").alias("_next"))), [KEY, "up"], "left").select(KEY, "at", F.coalesce("_next", "up").alias("up"), (F.coalesce("_next", "up") != F.col("up")).alias("_moved"))
+        nxt = settle(nxt)
+        forget(up)
+        up = nxt.select(KEY, "at", "up")
+        up.settled_at = nxt.settled_at
+        if nxt.where("_moved").isEmpty():
+            return up
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -146,9 +188,10 @@ def cycle_cover(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return _grouped(vertices, edges, run, "u string, v string, is_bridge boolean")
 
 
-def on_cycle(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(campaign, name, on_cycle): ends of edges that are no bridges."""
-    covered = cycle_cover(vertices, edges).where(~F.col("is_bridge")).select(KEY, F.explode(F.array("u", "v")).alias("name")).distinct().withColumn("on_cycle", F.lit(True))
+def on_cycle(vertices: DataFrame, edges: DataFrame, cover: DataFrame | None = None) -> DataFrame:
+    """(campaign, name, on_cycle): ends of edges that are no bridges. ``cover`` is the result of
+    cycle_cover, where it is there already."""
+    covered = (cycle_cover(vertices, edges) if cover is None else cover).where(~F.col("is_bridge")).select(KEY, F.explode(F.array("u", "v")).alias("name")).distinct().withColumn("on_cycle", F.lit(True))
     return vertices.select(KEY, "name").join(covered, [KEY, "name"], "left").fillna(False, ["on_cycle"])
 
 
@@ -163,18 +206,23 @@ def diameter(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return _grouped(vertices, edges, run, "diameter long")
 
 
-def hop_counts(vertices: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def hop_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(campaign, a, b, hops) of all reachable pairs a < b, by rounds of joins: the frontier of
-    all sources moves one hop per round. For graphs too large for one task."""
+    all sources moves one hop per round, as long as there is one. For graphs too large for one
+    task; what is reached is as large as the pairs that are."""
     arcs = settle(normal(edges).select(KEY, F.col("u").alias("a"), F.col("v").alias("b")).union(normal(edges).select(KEY, F.col("v"), F.col("u"))))
-    known = front = settle(arcs.withColumn("hops", F.lit(1)))
-    for k in range(2, most + 1):
-        step = front.select(KEY, F.col("a").alias("s"), F.col("b").alias("a")).join(arcs, [KEY, "a"]).select(KEY, F.col("s").alias("a"), "b").where("a <> b").distinct()
-        front = settle(step.join(known.select(KEY, "a", "b"), [KEY, "a", "b"], "left_anti").withColumn("hops", F.lit(k)))
-        if front.isEmpty():
-            break
-        known = settle(known.unionByName(front))
-    return known.where("a < b")
+    front = settle(arcs.withColumn("hops", F.lit(1)))
+    rounds, before = [front], arcs.select(KEY, "a", F.col("a").alias("b")).distinct()
+    while not front.isEmpty():
+        step = front.select(KEY, F.col("a").alias("s"), F.col("b").alias("a")).join(arcs, [KEY, "a"]).select(KEY, F.col("s").alias("a"), "b").distinct()
+        # a step from one front leads to the front before it, to itself or beyond
+        new = step.join(fresh(front.select(KEY, "a", "b")), [KEY, "a", "b"], "left_anti").join(fresh(before), [KEY, "a", "b"], "left_anti")
+        before, front = front.select(KEY, "a", "b"), settle(new.withColumn("hops", F.lit(len(rounds) + 1)))
+        rounds.append(front)
+    out = rounds[0]
+    for x in rounds[1:-1]:
+        out = out.unionByName(x)
+    return out.where("a < b")
 
 
 def count_cycles(vertices: DataFrame, edges: DataFrame, longest: int = 6) -> DataFrame:

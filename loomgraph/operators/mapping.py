@@ -16,15 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import graph as G
 from loomgraph.operators.molecule import Molecule, bits, connect, mask_of
-from loomgraph.operators.pairs import KEY
+from loomgraph.operators.pairs import KEY, fresh
 from loomgraph.plans.options import CorePruning, MappingOptions, SoftcorePolicy
 
-#: Steps of a common substructure search before it returns the best found so far. A limit of
-#: steps, unlike one of time, gives the same answer on every machine. On a series of 16 posed
-#: inhibitors 1,000 steps found the same sizes as 30,000.
-MAX_STEPS = 3_000
-
 
 # ---------------------------------------------------------------- rigid fits
 
@@ -90,36 +86,52 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- cores
 
 
-def common_core(p: Molecule, q: Molecule, options: MappingOptions, elements: bool = False) -> dict[int, int]:
-    """A largest connected common substructure of the heavy atoms, any bonds, by growing from
-    every start pair with the best of equal ones by geometry; hydrogens are paired after."""
-    best: tuple = (0, 0.0, {})
-    steps = 0
+@dataclass
+class Cores:
+    """The largest common cores of two structures, each embedding once, and whether the search
+    came to its end: within its steps, and with all embeddings kept."""
+
+    found: list[dict[int, int]]
+    complete: bool
+
+
+def common_cores(p: Molecule, q: Molecule, options: MappingOptions, elements: bool = False) -> Cores:
+    """All largest connected common substructures of the heavy atoms, any bonds, by growing
+    from every start pair; hydrogens are paired after."""
+    best, steps, cut = 0, 0, False
+    kept: dict[frozenset[tuple[int, int]], dict[int, int]] = {}
+    valences = [[round(sum(o for (x, y), o in zip(m.bonds, m.orders or (1.0,) * len(m.bonds), strict=True) if i in (x, y))) for i in range(m.n)] for m in (p, q)] if options.match_valences else None
 
     def fits(a: int, b: int) -> bool:
-        if elements and p.elements[a] != q.elements[b]:
+        if (elements and p.elements[a] != q.elements[b]) or (valences and valences[0][a] != valences[1][b]):
             return False
         return not options.ring_matches_ring_only or (p.ring_atoms >> a & 1) == (q.ring_atoms >> b & 1)
 
     def bond_ok(a: int, x: int, b: int, y: int) -> bool:
         return not options.ring_matches_ring_only or ((min(a, x), max(a, x)) in p.ring_bonds) == ((min(b, y), max(b, y)) in q.ring_bonds)
 
-    def score(core: dict[int, int]) -> tuple[int, float]:
-        keep = whole_rings(p, q, core) if options.complete_rings_only else core
-        if not keep:
-            return 0, 0.0
-        return len(keep), -rmsd(p.points[list(keep)], q.points[list(keep.values())])
+    def keep(core: dict[int, int]) -> None:
+        nonlocal best, cut
+        core = whole_rings(p, q, core) if options.complete_rings_only else core
+        if len(core) < max(best, 1):
+            return
+        if len(core) > best:
+            best = len(core)
+            kept.clear()
+        if len(kept) < options.max_matches:
+            kept.setdefault(frozenset(core.items()), dict(core))
+        else:
+            cut = cut or frozenset(core.items()) not in kept
 
     def grow(core: dict[int, int], used: int, barred: frozenset[tuple[int, int]]) -> None:
-        nonlocal best, steps
+        nonlocal steps, cut
         steps += 1
-        got = score(core)
-        if got > best[:2]:
-            best = (*got, dict(core))
-        if steps > MAX_STEPS:
+        keep(core)
+        if steps > options.max_steps:
+            cut = True
             return
         room = len(core) + min((p.heavy & ~mask_of(core)).bit_count(), (q.heavy & ~used).bit_count())
-        if room < best[0]:
+        if room < best:
             return
         for x, y in sorted(core.items()):
             for a in bits(p.near[x] & p.heavy):
@@ -128,22 +140,45 @@ def common_core(p: Molecule, q: Molecule, options: MappingOptions, elements: boo
                 for b in sorted(bits(q.near[y] & q.heavy & ~used), key=lambda b: float(((p.points[a] - q.points[b]) ** 2).sum())):
                     if (a, b) in barred or not fits(a, b) or not bond_ok(x, a, y, b):
                         continue
-                    if all(bool(p.near[a] >> i & 1) <= bool(q.near[b] >> j & 1) and bool(q.near[b] >> j & 1) <= bool(p.near[a] >> i & 1) for i, j in core.items()):
+                    if all(bool(p.near[a] >> i & 1) == bool(q.near[b] >> j & 1) for i, j in core.items()):
                         core[a] = b
                         grow(core, used | 1 << b, barred)
                         del core[a]
                         barred = barred | {(a, b)}
-                        if steps > MAX_STEPS:
+                        if steps > options.max_steps:
                             return
 
     starts = sorted(((float(((p.points[a] - q.points[b]) ** 2).sum()), a, b) for a in bits(p.heavy) for b in bits(q.heavy) if fits(a, b)))
     barred: frozenset[tuple[int, int]] = frozenset()
-    for _, a, b in starts:
-        if best[0] >= min(p.heavy.bit_count(), q.heavy.bit_count()) or steps > MAX_STEPS:
+    for i, (_, a, b) in enumerate(starts):
+        if steps > options.max_steps:
+            break
+        # no start that is left can hold as many pairs as the best core
+        left_1, left_2 = (mask_of(x[k] for x in starts[i:]).bit_count() for k in (1, 2))
+        if min(left_1, left_2) < best:
             break
         grow({a: b}, 1 << b, barred)
         barred = barred | {(a, b)}
-    return whole_rings(p, q, best[2]) if options.complete_rings_only else best[2]
+    return Cores(list(kept.values()), not cut)
+
+
+def choose_core(p: Molecule, q: Molecule, found: list[dict[int, int]], how: str) -> dict[int, int]:
+    """One of equally large cores. fewest_fragments: connected changed regions, then RMSD in
+    place; best_rmsd: the other way round; first: as found, the nearest start first. What is
+    equal in both goes by its atoms."""
+    if not found or how == "first":
+        return found[0] if found else {}
+
+    def rank(core: dict[int, int]) -> tuple:
+        regions = float(sum(len(m.pieces(m.heavy & ~mask_of(x))) for m, x in ((p, core), (q, core.values()))))
+        off = round(rmsd(p.points[list(core)], q.points[list(core.values())]), 9)
+        return (*((regions, off) if how == "fewest_fragments" else (off, regions)), sorted(core.items()))
+
+    return min(found, key=rank)
+
+
+def common_core(p: Molecule, q: Molecule, options: MappingOptions, elements: bool = False) -> dict[int, int]:
+    return choose_core(p, q, common_cores(p, q, options, elements).found, options.match_selection)
 
 
 def whole_rings(p: Molecule, q: Molecule, core: dict[int, int]) -> dict[int, int]:
@@ -195,12 +230,19 @@ def cartograph(p: Molecule, q: Molecule, options: MappingOptions) -> dict[int, i
     return {a: b for a, b in core.items() if parts and parts[0] >> a & 1}
 
 
+def mcss(p: Molecule, q: Molecule, options: MappingOptions, elements: bool = False) -> tuple[dict[int, int], bool]:
+    """The chosen common core with its hydrogens, and whether the search came to its end."""
+    cores = common_cores(p, q, options, elements)
+    return pair_hydrogens(p, q, choose_core(p, q, cores.found, options.match_selection)), cores.complete
+
+
+#: Each gives the core of a pair and whether nothing was left untried.
 MAPPERS = {
-    "mcss": lambda p, q, o: pair_hydrogens(p, q, common_core(p, q, o)),
-    "mcss-e": lambda p, q, o: pair_hydrogens(p, q, common_core(p, q, o)),
-    "mcss-e2": lambda p, q, o: pair_hydrogens(p, q, common_core(p, q, o, elements=True)),
-    "cartograph": cartograph,
-    "identity": lambda p, q, o: {i: i for i in range(min(p.n, q.n))},
+    "mcss": mcss,
+    "mcss-e": mcss,
+    "mcss-e2": lambda p, q, o: mcss(p, q, o, elements=True),
+    "cartograph": lambda p, q, o: (cartograph(p, q, o), True),
+    "identity": lambda p, q, o: ({i: i for i in range(min(p.n, q.n))}, True),
 }
 
 
@@ -342,22 +384,28 @@ def repair(p: Molecule, q: Molecule, core: dict[int, int], policy: SoftcorePolic
 
 # ---------------------------------------------------------------- over tables
 
-RESULT = "cc1 array<int>, cc2 array<int>, sc1 array<int>, sc2 array<int>, method string, reason string, fragments_before array<int>, fragments_after array<int>, demoted_1 array<int>, demoted_2 array<int>, iterations int, trace array<string>"
+RESULT = "cc1 array<int>, cc2 array<int>, sc1 array<int>, sc2 array<int>, method string, reason string, fragments_before array<int>, fragments_after array<int>, demoted_1 array<int>, demoted_2 array<int>, iterations int, trace array<string>, complete boolean"
+
+
+def _result(p: Molecule, q: Molecule, core: dict[int, int], method: str, reason: str | None, r: Repair | None, complete: bool = True) -> dict:
+    """A row of RESULT."""
+    a, b = sorted(core), [core[x] for x in sorted(core)]
+    return {
+        "cc1": a, "cc2": b, "sc1": [x for x in range(p.n) if x not in core], "sc2": sorted(set(range(q.n)) - set(b)), "method": method, "reason": reason,
+        "fragments_before": list(r.fragments_before) if r else [0, 0], "fragments_after": list(r.fragments_after) if r else [0, 0],
+        "demoted_1": r.demoted_1 if r else [], "demoted_2": r.demoted_2 if r else [], "iterations": r.iterations if r else 0, "trace": r.trace if r else [], "complete": complete,
+    }
 
 
 def map_pair(p: Molecule, q: Molecule, mapper: str, options: MappingOptions, policy: SoftcorePolicy, charges_differ: bool = False) -> dict:
     """One pair mapped, pruned, prechecked and repaired, as a row of RESULT."""
 
     def row(core: dict[int, int], reason: str | None, r: Repair | None = None) -> dict:
-        a, b = sorted(core), [core[x] for x in sorted(core)]
-        return {
-            "cc1": a, "cc2": b, "sc1": [x for x in range(p.n) if x not in core], "sc2": sorted(set(range(q.n)) - set(b)), "method": mapper, "reason": reason,
-            "fragments_before": list(r.fragments_before) if r else [0, 0], "fragments_after": list(r.fragments_after) if r else [0, 0],
-            "demoted_1": r.demoted_1 if r else [], "demoted_2": r.demoted_2 if r else [], "iterations": r.iterations if r else 0, "trace": r.trace if r else [],
-        }
+        return _result(p, q, core, mapper, reason, r, complete)
 
+    complete = True
     try:
-        core = MAPPERS[mapper](p, q, options)
+        core, complete = MAPPERS[mapper](p, q, options)
     except (ValueError, IndexError):
         return row({}, "mapper_failed")
     if mapper != "identity":
@@ -418,6 +466,29 @@ def cores_by_vertex(mapped: DataFrame) -> DataFrame:
     return held.join(pairs, [KEY, "name"]).where("k = n").select(KEY, "name", "atom")
 
 
+def consistent(edges: DataFrame, vertices: DataFrame, policy: SoftcorePolicy | None = None) -> DataFrame:
+    """edges (campaign, source, target, cc1, cc2, method) with one core for every vertex over all
+    its edges, as rows like those of ``evaluate``. Cores meet only over shared vertices, so a
+    group is a connected part of a campaign; an edge that can't be repaired any more is an error."""
+    policy = policy or SoftcorePolicy()
+    kind = vertices.schema[KEY].dataType.simpleString()
+    named = edges.withColumns({"u": F.least("source", "target"), "v": F.greatest("source", "target")})
+    part = G.components(vertices, named)
+    inside = edges.select(KEY, "source", "target", "cc1", "cc2", "method").join(part.select(KEY, F.col("name").alias("source"), "component"), [KEY, "source"])
+    held = vertices.select(KEY, "name", "atoms", "bonds").join(fresh(part), [KEY, "name"])
+
+    def one(key: tuple, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        mols = {r.name: Molecule.of(_rows(r.atoms), _rows(r.bonds)) for r in v.itertuples(index=False)}
+        e = e.sort_values(["source", "target"])
+        mapped = [(r.source, r.target, dict(zip(map(int, r.cc1), map(int, r.cc2), strict=True))) for r in e.itertuples(index=False)]
+        rows = []
+        for (s, t, r), method in zip(make_consistent(mapped, mols, policy) if mapped else [], e.method, strict=True):
+            rows.append({KEY: key[0], "source": s, "target": t, **_result(mols[s], mols[t], r.core, method, None, r)})
+        return pd.DataFrame(rows, columns=[KEY, "source", "target", *[x.split()[0] for x in RESULT.split(", ")]])
+
+    return held.groupBy(KEY, "component").cogroup(fresh(inside).groupBy(KEY, "component")).applyInPandas(one, f"{KEY} {kind}, source string, target string, {RESULT}")
+
+
 def make_consistent(mapped: list[tuple[str, str, dict[int, int]]], mols: dict[str, Molecule], policy: SoftcorePolicy, rounds: int = 50) -> list[tuple[str, str, Repair]]:
     """Gives every vertex one core over all its pairs: intersect, restrict, repair, until nothing
     changes. Heavy atoms are intersected by index, hydrogens by number per parent, the lowest

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.keys import SEPARATOR
-from loomgraph.operators.pairs import KEY
+from loomgraph.operators.pairs import KEY, fresh
 from loomgraph.plans.options import NetworkOptions, PlanError, pair_of
-from loomgraph.plans.planners import Plan, plan
+from loomgraph.plans.planners import GROUPED, Plan, plan
 
 
 def read_lmi(spark: SparkSession, text: str) -> DataFrame:
@@ -61,20 +61,19 @@ def high_edges(selected: DataFrame, lmi: DataFrame, options: NetworkOptions, qua
 
 
 def replan(vertices: DataFrame, candidates: DataFrame, selected: DataFrame, pruned: DataFrame, options: NetworkOptions, planner: str = "mst") -> Plan:
-    """Plans again without the pruned edges and with all others kept, by the same planner.
-
-    Bans and kept edges differ by campaign, so they are tables: pruned pairs leave the
-    candidates by an anti-join, and kept edges come back as candidates without cost, which
-    any planner takes first.
+    """Plans again without the pruned edges and with all others that are still feasible, by the
+    same planner. Bans and kept edges differ by campaign, so they are tables: planners that
+    choose edge by edge take them as marks, and for the others pruned pairs leave the candidates
+    and kept ones join what the planner selects.
     """
+    out = pruned.select(KEY, "u", "v").distinct()
+    feasible = candidates.where("feasible").withColumns({"u": F.least("source", "target"), "v": F.greatest("source", "target")})
+    kept = selected.where("kind <> 'cbfe'").select(KEY, "u", "v").distinct().join(out, [KEY, "u", "v"], "left_anti").join(fresh(feasible.select(KEY, "u", "v").distinct()), [KEY, "u", "v"], "left_semi")
+    options = dataclasses.replace(options, compat=None)
+    if planner in GROUPED:
+        marks = kept.withColumn("mark", F.lit("forced")).unionByName(out.withColumn("mark", F.lit("banned")))
+        return plan(vertices, candidates, options, planner, marks)
     named = candidates.withColumns({"u": F.least("source", "target"), "v": F.greatest("source", "target")})
-    left = named.join(pruned.select(KEY, "u", "v"), [KEY, "u", "v"], "left_anti")
-    kept = selected.where("kind <> 'cbfe'").join(pruned.select(KEY, "u", "v"), [KEY, "u", "v"], "left_anti").select(KEY, "u", "v").withColumn("_kept", F.lit(True))
-    cheap = left.join(kept, [KEY, "u", "v"], "left").withColumn("_cost", F.col("total")).withColumn("total", F.when(F.col("_kept"), F.lit(0.0)).otherwise(F.col("total")))
-    # a kept edge is in whatever the planner chooses
-    found = plan(vertices, cheap.drop("u", "v", "_kept", "_cost"), dataclasses.replace(options, compat=None), planner)
-    costs = left.where("feasible").groupBy(KEY, "u", "v").agg(F.min("total").alias("_true"))
-    again = kept.drop("_kept").join(left.where("feasible").groupBy(KEY, "u", "v").agg(F.min_by("source", "total").alias("source"), F.min_by("target", "total").alias("target"), F.min("total").alias("total")), [KEY, "u", "v"])
-    new = found.selected.join(costs, [KEY, "u", "v"], "left").withColumn("total", F.coalesce("_true", "total")).drop("_true")
-    lost = again.join(found.selected.select(KEY, "u", "v"), [KEY, "u", "v"], "left_anti")
-    return Plan(new.select(found.selected.columns).unionByName(lost.select(KEY, "source", "target", "u", "v", F.lit("rbfe").alias("kind"), F.col("total").cast("double").alias("total"))), found.unmet)
+    found = plan(vertices, named.join(out, [KEY, "u", "v"], "left_anti").drop("u", "v"), options, planner)
+    lost = selected.join(fresh(kept), [KEY, "u", "v"], "left_semi").join(fresh(found.selected.select(KEY, "u", "v")), [KEY, "u", "v"], "left_anti")
+    return Plan(found.selected.unionByName(lost.select(found.selected.columns)), found.unmet)

@@ -280,23 +280,20 @@ def centrality(n: int, a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.nd
 
 
 def join_groups(group: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray, merit: np.ndarray, per_pair: int = 1) -> list[int]:
-    """Edges that join the groups: a forest over the groups by merit (then cost, then place),
-    and for joined pairs of groups up to ``per_pair`` crossings."""
-    groups = len(set(group.tolist()))
-    forest, taken, out = Forest(set(group.tolist())), {}, []
-    for e in np.lexsort((b, a, cost, -merit)).tolist():
-        p, q = sorted((int(group[a[e]]), int(group[b[e]])))
-        if p == q:
-            continue
-        if (p, q) in taken:
-            if taken[p, q] == per_pair:
-                continue
-            taken[p, q] += 1
-        elif forest.join(p, q):
-            taken[p, q] = 1
-        else:
-            continue
-        out.append(e)
-        if len(taken) == groups - 1 and min(taken.values()) >= per_pair:
-            break
-    return out
+    """The ``per_pair`` best edges of every pair of groups in a spanning forest over the groups,
+    whose links are their best edges: by merit, then cost, then place."""
+    p, q = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
+    order = np.lexsort((b, a, cost, -merit))
+    order = order[p[order] != q[order]]
+    if not len(order):
+        return []
+    links, first, number, size = np.unique(np.stack([p, q], axis=1)[order], axis=0, return_index=True, return_inverse=True, return_counts=True)
+    number = number.ravel()
+    forest, tree = Forest(set(group.tolist())), np.zeros(len(links), bool)
+    for k in first.argsort():
+        tree[k] = forest.join(*links[k].tolist())
+    # the place of each edge among those of its pair
+    by_pair = np.argsort(number, kind="stable")
+    rank = np.empty(len(order), int)
+    rank[by_pair] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    return order[tree[number] & (rank < per_pair)].tolist()

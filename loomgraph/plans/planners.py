@@ -54,7 +54,6 @@ def orient(edges: DataFrame, vertices: DataFrame, rule: str) -> DataFrame:
     if rule == "lexicographic":
         swap = F.col("source") > F.col("target")
     else:
-        column = "n_heavy" if rule == "heavier_second" else "n_sc"
         if rule == "heavier_second":
             heavy = vertices.select(KEY, "name", "n_heavy")
             for side in ("source", "target"):
@@ -64,7 +63,6 @@ def orient(edges: DataFrame, vertices: DataFrame, rule: str) -> DataFrame:
             swap = F.col("n_sc_1") > F.col("n_sc_2")
         else:
             return edges
-        del column
     kept = edges.withColumn("_swap", F.coalesce(swap, F.lit(False)))
     new = {"source": F.when(F.col("_swap"), F.col("target")).otherwise(F.col("source")), "target": F.when(F.col("_swap"), F.col("source")).otherwise(F.col("target"))}
     if {"n_sc_1", "n_sc_2"} <= set(edges.columns):
@@ -152,6 +150,10 @@ class _Campaign:
         self.options = options
         self.n = len(self.names)
         self.unmet: list[str] = []
+        marked = edges[edges["mark"] != ""]
+        edges = edges[edges["mark"] != "banned"]
+        self.forced = options.forced_pairs | {(r.u, r.v) for r in marked.itertuples() if r.mark == "forced"}
+        self.banned = options.banned_pairs | {(r.u, r.v) for r in marked.itertuples() if r.mark == "banned"}
         self.rows = {(r.u, r.v): r for r in edges.itertuples()}
         self.pool_edges: list[tuple[str, str, float, bool]] = [(u, v, r.total, False) for (u, v), r in self.rows.items()]
         self.synthetic = self.v.synthetic.fillna(False).to_numpy(bool) if "synthetic" in self.v else np.zeros(self.n, bool)
@@ -196,7 +198,7 @@ class _Campaign:
 
 
 def _forced(c: _Campaign, available: set[tuple[str, str]]) -> None:
-    lost = sorted(p for p in c.options.forced_pairs if p not in c.rows and p not in available)
+    lost = sorted(p for p in c.forced if p not in c.rows and p not in available)
     if lost:
         raise PlanError(f"forced edges that are not feasible: {['~'.join(p) for p in lost]}")
 
@@ -212,7 +214,7 @@ def _mst(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOptions, o
         for i in range(c.n):
             for j in range(i + 1, c.n):
                 pair = (c.names[i], c.names[j])
-                if pair not in c.rows and pair not in options.banned_pairs:
+                if pair not in c.rows and pair not in c.banned:
                     spare[pair] = _cost_cbfe(c.v, i, j, options)
     _forced(c, set(spare))
 
@@ -221,7 +223,7 @@ def _mst(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOptions, o
     if options.cluster_by != "none":
         held = _prune_crossings(c)
     # 2 forced pairs without a mapping, and 3 bridges between components, are counterpoised
-    placed: list[tuple[str, str]] = sorted(options.forced_pairs & set(spare))
+    placed: list[tuple[str, str]] = sorted(c.forced & set(spare))
     # fixed form of the message
     c.unmet += [f"forced edge {u}~{v} has no feasible RBFE mapping; supplied as a CBFE edge" for u, v in placed]
     if spare:
@@ -248,7 +250,7 @@ def _mst(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOptions, o
     ends = [sorted((c.names[x], c.names[y]), key=place.get) for x, y in zip(pool.a, pool.b, strict=True)]
     order = np.array(sorted(range(len(pool)), key=lambda e: (pool.weight[e], *ends[e])), int)
     number = {tuple(pool.spec(e).split("~")): e for e in range(len(pool))}
-    seeds = [number[p] for p in sorted(options.forced_pairs) if p in number]
+    seeds = [number[p] for p in sorted(c.forced) if p in number]
     if options.hub:
         seeds += sorted((e for p, e in number.items() if options.hub in p and usable[e]), key=lambda e: pool.spec(e))
     tree = S.overlaid_trees(pool, seeds, order, options.n_redundancy, usable) if overlaid else S.kruskal(pool, seeds, order, usable)
@@ -305,7 +307,7 @@ def _prune_crossings(c: _Campaign) -> set[tuple[str, str]]:
         return set()
     merit = c.merit(pool, cross, group, (pool.a, pool.b))
     best = S.join_groups(group, pool.a[cross], pool.b[cross], pool.weight[cross], merit, options.cluster_bridges)
-    keep = {int(cross[e]) for e in best} | {e for e in cross.tolist() if tuple(pool.spec(e).split("~")) in options.forced_pairs}
+    keep = {int(cross[e]) for e in best} | {e for e in cross.tolist() if tuple(pool.spec(e).split("~")) in c.forced}
     inside = np.array([e not in keep and group[pool.a[e]] != group[pool.b[e]] for e in range(len(pool))])
     back: list[int] = []
     if c.connected(pool.a, pool.b):
@@ -337,7 +339,7 @@ def _optimal(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOption
         c.unmet.append(f"the design asked for {target} edge(s) but only {len(pool)} feasible candidate(s) exist; selecting all of them")
         target = len(pool)
     number = {tuple(pool.spec(e).split("~")): e for e in range(len(pool))}
-    forced = [number[p] for p in sorted(options.forced_pairs) if p in number]
+    forced = [number[p] for p in sorted(c.forced) if p in number]
     chosen = np.zeros(len(pool), bool)
     chosen[S.kruskal(pool, forced, np.arange(len(pool)))] = True
     if chosen.sum() > target:
@@ -359,10 +361,23 @@ def _optimal(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOption
     return c.output(pool, chosen)
 
 
-def _grouped(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions, run) -> Plan:
-    """Only names, costs and what the options need go to Python; each campaign is one group."""
+def _grouped(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions, run, marks: DataFrame | None = None) -> Plan:
+    """Only names, costs and what the options need go to Python; each campaign is one group.
+    ``marks`` (campaign, u, v, mark) are pairs forced or banned in single campaigns."""
     wanted = [x for x in ("name", "ord", "charge", "n_heavy", "scaffold", "synthetic", "fp") if x in vertices.columns]
     best = best_by_pair(candidates, options).select(KEY, "source", "target", "u", "v", F.col("total").cast("double").alias("total"))
+    if marks is None:
+        best = best.withColumn("mark", F.lit(""))
+    else:
+        named = marks.groupBy(KEY, "u", "v").agg(F.min("mark").alias("mark"))  # banned goes before forced
+        bans = named.where("mark = 'banned'").select(KEY, F.col("u").alias("source"), F.col("v").alias("target"), "u", "v", F.lit(None).cast("double").alias("total"), "mark")
+        best = best.join(fresh(bans.select(KEY, "u", "v")), [KEY, "u", "v"], "left_anti").join(fresh(named.where("mark = 'forced'")), [KEY, "u", "v"], "left").fillna("", ["mark"])
+        # a pair that is forced without a candidate comes along, to be named or bridged
+        lone = named.where("mark = 'forced'").join(fresh(best.select(KEY, "u", "v")), [KEY, "u", "v"], "left_anti")
+        best = best.select(*bans.columns).unionByName(bans)
+        if not lone.isEmpty():
+            r = lone.first()
+            raise PlanError(f"forced edges that are not feasible: {[f'{r.u}~{r.v}']}")
     kind = vertices.schema[KEY].dataType.simpleString()
     columns = ["seq", "source", "target", "u", "v", "kind", "total", "message"]
 
@@ -384,7 +399,17 @@ def _all_cbfe(vertices: DataFrame, options: NetworkOptions) -> DataFrame:
     return pool(vertices, options).select(KEY, (F.row_number().over(row) - 1).alias("cand_ord"), F.col("u").alias("source"), F.col("v").alias("target"), F.col("total"), F.lit(True).alias("feasible"), F.lit("cbfe").alias("kind"))
 
 
-def plan(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions | None = None, planner: str = "mst") -> Plan:
+def listing(candidates: DataFrame, most: int | None = None) -> DataFrame:
+    """Candidates in the order in which they are shown, with ``rank``: feasible ones first, then
+    by cost, then by key."""
+    row = Window.partitionBy(KEY).orderBy(~F.col("feasible"), "total", F.concat_ws("~", "source", "target"))
+    ranked = candidates.withColumn("rank", F.row_number().over(row))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
+
+
+def plan(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions | None = None, planner: str = "mst", marks: DataFrame | None = None) -> Plan:
+    """``marks`` (campaign, u, v, mark): pairs that are "forced" or "banned" in single campaigns,
+    beside those of the options; for planners that choose edge by edge."""
     options = options or NetworkOptions()
     if planner not in PLANNERS:
         raise PlanError(f"no planner {planner!r}; there are {sorted(PLANNERS)}")
@@ -395,6 +420,10 @@ def plan(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions | N
     if options.cbfe_mode == "all":
         found = plan(vertices, _all_cbfe(vertices, options), _without_cbfe(options), planner)
         return Plan(found.selected.withColumn("kind", F.lit("cbfe")), found.unmet)
+    if marks is not None:
+        if planner not in GROUPED:
+            raise PlanError(f"planner {planner!r} takes no marks")
+        return _grouped(vertices, candidates, options, GROUPED[planner], marks)
     return PLANNERS[planner](vertices, candidates, options)
 
 
@@ -404,10 +433,11 @@ def _without_cbfe(options: NetworkOptions) -> NetworkOptions:
     return dataclasses.replace(options, cbfe_mode="off", compat=None)
 
 
+GROUPED = {"mst": lambda x, e, p: _mst(x, e, p, False), "redundant-mst": lambda x, e, p: _mst(x, e, p, True), "optimal": _optimal}
 PLANNERS = {
-    "mst": lambda v, c, o: _grouped(v, c, o, lambda x, e, p: _mst(x, e, p, False)),
-    "redundant-mst": lambda v, c, o: _grouped(v, c, o, lambda x, e, p: _mst(x, e, p, True)),
-    "optimal": lambda v, c, o: _grouped(v, c, o, _optimal),
+    "mst": lambda v, c, o: _grouped(v, c, o, GROUPED["mst"]),
+    "redundant-mst": lambda v, c, o: _grouped(v, c, o, GROUPED["redundant-mst"]),
+    "optimal": lambda v, c, o: _grouped(v, c, o, GROUPED["optimal"]),
     "star": plan_star,
     "explicit": plan_explicit,
     "complete": plan_complete,

@@ -42,10 +42,10 @@ def _r(c, n: int = 9):
 
 
 @query("a06_sanitize_name", """SELECT DISTINCT event_type, CASE WHEN c <> '' THEN c ELSE 'event' END AS name FROM (
-  SELECT event_type, regexp_replace(regexp_replace(event_type || ' (' || substr(props, 1, 12) || ')', '[^A-Za-z0-9_.+-]+', '_', 'g'), '^_+|_+$', '', 'g') AS c FROM events)""")
+  SELECT event_type, regexp_replace(regexp_replace(event_type || ' (' || props || ')', '[^A-Za-z0-9_.+-]+', '_', 'g'), '^_+|_+$', '', 'g') AS c FROM events)""")
 def _(s, d):
     e = V.read(s, d, "events")
-    raw = F.concat("event_type", F.lit(" ("), F.substring("props", 1, 12), F.lit(")"))
+    raw = F.concat("event_type", F.lit(" ("), F.col("props"), F.lit(")"))
     return e.select("event_type", keys.sanitize_name(raw, F.lit("event")).alias("name")).distinct()
 
 
@@ -135,11 +135,12 @@ def _(s, d):
     return m.select(KEY, "source", "target", F.size("m.cc1").cast("long").alias("n_core"), F.size("m.sc1").cast("long").alias("n_soft_1"), F.size("m.sc2").cast("long").alias("n_soft_2"))
 
 
-@query("j02_in_place_rmsd", """SELECT a.label AS campaign, CAST(a.vec_id AS BIGINT) AS a, CAST(b.vec_id AS BIGINT) AS b, round(sqrt(list_sum(list_transform(range(1, 61), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) / 20), 6) AS rmsd
+@query("j02_in_place_rmsd", """SELECT a.label AS campaign, CAST(a.vec_id AS BIGINT) AS a, CAST(b.vec_id AS BIGINT) AS b, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) / 22), 6) AS rmsd
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def _(s, d):
     e = V.read(s, d, "embeddings")
-    pts = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.struct(*[F.get("embedding", i * 3 + k).cast("double").alias(x) for k, x in enumerate("xyz")]))
+    # 64 dimensions are 21 points and a third; what the last one lacks is 0
+    pts = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda i: F.struct(*[F.coalesce(F.get("embedding", i * 3 + k).cast("double"), F.lit(0.0)).alias(x) for k, x in enumerate("xyz")]))
     a, b = (e.select(F.col("label").alias(KEY), F.col("vec_id").cast("long").alias(x), pts.alias(f"p_{x}")) for x in "ab")
     return a.join(b, KEY).where("a < b").select(KEY, "a", "b", F.round(mappings.rmsd(F.col("p_a"), F.col("p_b")), 6).alias("rmsd"))
 
@@ -399,21 +400,19 @@ def _(s, d):
 @query("f05_bridge_rank", f"""{_REACH}, deg AS (SELECT n.campaign, n.name, count(e.u) AS degree FROM nations n LEFT JOIN sparse e ON n.campaign = e.campaign AND n.name IN (e.u, e.v) GROUP BY n.campaign, n.name),
  cen AS (SELECT campaign, name, CASE WHEN max(degree) OVER (PARTITION BY campaign, component) = 0 THEN 1.0 ELSE degree / max(degree) OVER (PARTITION BY campaign, component) END AS c FROM deg JOIN comp USING (campaign, name)),
  pl AS (SELECT a.campaign, a.name AS u, b.name AS v, 8.0 + 0.05 * (a.n_heavy + b.n_heavy) AS total, x.c + y.c AS cc FROM nations a JOIN nations b ON a.campaign = b.campaign AND a.name < b.name JOIN cen x ON x.campaign = a.campaign AND x.name = a.name JOIN cen y ON y.campaign = b.campaign AND y.name = b.name)
-SELECT campaign, u, v, round(0.25 * cc, 9) AS merit FROM pl""")
+SELECT campaign, u, v, round(sim + 0.25 * cc, 9) AS merit, CAST(row_number() OVER (PARTITION BY campaign ORDER BY round(sim + 0.25 * cc, 9) DESC, total, u, v) AS BIGINT) AS rank FROM (SELECT *, CASE WHEN length(u) = length(v) THEN 0.5 ELSE 0.125 END AS sim FROM pl)""")
 def _(s, d):
     v, e = V.nations(s, d), V.sparse(s, d)
     c = cbfe.centrality(G.degrees(v, e).join(G.components(v, e), [KEY, "name"])).select(KEY, "name", "centrality")
-    p = cbfe.pool(v, NetworkOptions()).withColumn("sim", F.lit(0.0))
+    p = cbfe.pool(v, NetworkOptions()).withColumn("sim", F.when(F.char_length("u") == F.char_length("v"), 0.5).otherwise(0.125))
     for x in "uv":
         p = p.join(c.select(KEY, F.col("name").alias(x), F.col("centrality").alias(f"c_{x}")), [KEY, x])
-    return cbfe.bridge_rank(p).select(KEY, "u", "v", _r("merit").alias("merit"))
+    return cbfe.bridge_rank(p).select(KEY, "u", "v", _r("merit").alias("merit"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("f06_candidate_listing", f"WITH {V.CANDIDATES} SELECT campaign, source || '~' || target AS key, feasible FROM cand QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY NOT feasible, total, source || '~' || target) <= 50")
 def _(s, d):
-    k = keys.edge_key("source", "target")
-    row = Window.partitionBy(KEY).orderBy(~F.col("feasible"), "total", k)
-    return V.candidates(s, d).withColumn("_r", F.row_number().over(row)).where("_r <= 50").select(KEY, k.alias("key"), "feasible")
+    return planners.listing(V.candidates(s, d), 50).select(KEY, keys.edge_key("source", "target").alias("key"), "feasible")
 
 
 @query("g01_complete_planner_cut", f"WITH {V.CANDIDATES} SELECT campaign, u, v, round(total, 9) AS total FROM best QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY total, u, v) <= 30")

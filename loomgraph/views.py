@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from loomgraph.operators.pairs import KEY
 
 
+#: Partners of a part in its brand, for the queries over pairs of parts.
+PARTNERS = 24
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,18 +37,22 @@ PARTS = """parts AS (
 
 
 def part_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All unordered pairs of a brand with descriptors of a made-up mapping."""
-    a, b = (parts(spark, d).select(KEY, *[F.col(c).alias(f"{c}_{s}") for c in ("name", "ord", "n_heavy", "charge", "rings")]) for s in (1, 2))
-    p = a.join(b, KEY).where("ord_1 < ord_2")
+    """Each part with the next PARTNERS parts of its brand (as an index would offer them, so
+    rows grow with the parts), with descriptors of a made-up mapping."""
+    ranked = parts(spark, d).withColumn("place", F.row_number().over(Window.partitionBy(KEY).orderBy("ord")))
+    a, b = (ranked.select(KEY, "place", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "ord", "n_heavy", "charge", "rings")]) for s in (1, 2))
+    p = a.withColumn("place", F.explode(F.sequence(F.col("place") + 1, F.col("place") + PARTNERS))).join(b, [KEY, "place"]).drop("place")
     core = F.floor(F.least("n_heavy_1", "n_heavy_2") * (50 + (F.col("ord_1") * 7 + F.col("ord_2") * 13) % 51) / 100).cast("long")
     p = p.withColumn("core", core).withColumns({"s1": F.col("n_heavy_1") - F.col("core"), "s2": F.col("n_heavy_2") - F.col("core"), "core_rmsd": ((F.col("ord_1") * 31 + F.col("ord_2") * 17) % 300) / 100})
     return p.withColumnRenamed("name_1", "source").withColumnRenamed("name_2", "target")
 
 
-PART_PAIRS = PARTS + """, pp0 AS (
+PART_PAIRS = PARTS + f""", ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY ord) AS place FROM parts
+), pp0 AS (
   SELECT a.campaign, a.name AS source, b.name AS target, a.ord AS ord_1, b.ord AS ord_2, a.n_heavy AS n_heavy_1, b.n_heavy AS n_heavy_2, a.charge AS charge_1, b.charge AS charge_2, a.rings AS rings_1, b.rings AS rings_2,
     CAST(floor(least(a.n_heavy, b.n_heavy) * (50 + (a.ord * 7 + b.ord * 13) % 51) / 100) AS BIGINT) AS core, ((a.ord * 31 + b.ord * 17) % 300) / 100 AS core_rmsd
-  FROM parts a JOIN parts b ON a.campaign = b.campaign AND a.ord < b.ord
+  FROM (SELECT *, unnest(range(place + 1, place + 1 + {PARTNERS})) AS next FROM ranked) a JOIN ranked b ON a.campaign = b.campaign AND a.next = b.place
 ), pp AS (
   SELECT *, n_heavy_1 - core AS s1, n_heavy_2 - core AS s2 FROM pp0
 )"""
