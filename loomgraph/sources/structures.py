@@ -119,6 +119,20 @@ def read_structures(spark: SparkSession, path: str, campaign: str = "default", n
     return out
 
 
+def invented(spark: SparkSession, made: list[tuple], like: DataFrame) -> DataFrame:
+    """(campaign, name, atoms, bonds) of invented structures as vertices with the columns of
+    ``like``, marked as synthetic; what a structure doesn't tell is null."""
+    from loomgraph.operators.alignment import path_fingerprint
+
+    rows = []
+    for i, (campaign, name, atoms, bonds) in enumerate(made):
+        row = _row(name, name, [dict(a) for a in atoms], [dict(b) for b in bonds], "invented", i)
+        mol = Molecule.of(row["atoms"], row["bonds"])
+        row |= {KEY: campaign, "name": name, "n_atoms": mol.n, "n_heavy": mol.heavy.bit_count(), "synthetic": True, "ord": (1 << 30) + i, "fp": path_fingerprint(mol)}
+        rows.append(tuple(row.get(c) for c in like.columns))
+    return spark.createDataFrame(rows, like.schema)
+
+
 def _order():
     from pyspark.sql import Window
 

@@ -127,3 +127,74 @@ def test_scores_are_expressions(spark):
     with pytest.raises(ValueError, match="negative"):
         scoring.variance(d, {"intercept": -1})
     assert len(list(itertools.chain(scoring.LINEAR_TERMS))) == 11
+
+
+def test_wiring_of_options(spark, chains, tmp_path, monkeypatch):
+    from loomgraph.plans import build as B
+    from loomgraph.plans.options import AlignmentOptions, IntermediateOptions, MappingOptions
+
+    plain = build(chains)
+    for mode in ("component", "graph"):
+        net = build(chains, NetworkOptions(consistency=mode))
+        cores = {}
+        for r in net.selected.join(net.candidates.select("source", "target", "cc1", "cc2"), ["source", "target"]).collect():
+            for name, core in ((r.source, r.cc1), (r.target, r.cc2)):
+                cores.setdefault(name, set()).add(frozenset(core))
+        assert all(len(x) == 1 for x in cores.values()) and len(cores) == 4
+    few = build(chains, NetworkOptions(pair_evaluation="adaptive", adaptive_initial_neighbors=1, adaptive_batch_size=1))
+    assert few.candidates.count() <= plain.candidates.count() and few.unmet.count() == plain.unmet.count()
+    shares = build(chains, NetworkOptions(design_total_ns=100.0, design_lambda_min=4, design_lambda_max=8)).allocation.collect()
+    assert sum(r.effort for r in shares) == pytest.approx(100) and {r.windows for r in shares} <= set(range(4, 9))
+    with pytest.raises(PlanError, match="generate"):
+        build(chains, NetworkOptions(intermediates=IntermediateOptions(mode="gaps")))
+    with pytest.raises(ValueError, match="chiral"):
+        MappingOptions(match_chiral_tag=True)
+    (tmp_path / "y.sdf").write_text(sdf("c10", 10, 2) + sdf("far", 10, 2, shift=40.0) + sdf("c11", 11, 2))
+    v = A.with_fingerprints(structures.read_structures(spark, str(tmp_path))).cache()
+    assert build(v, NetworkOptions(edges_per_ligand=1, min_cycle_coverage=0, require_connected=False)).candidates.where("feasible").count() < 3
+    moved = build(v, NetworkOptions(edges_per_ligand=1, min_cycle_coverage=0), alignment=AlignmentOptions("tree"))
+    assert moved.candidates.where("feasible").count() == 3
+
+
+def test_gaps_are_bridged_by_invented_vertices(spark, tmp_path):
+    from loomgraph.plans.options import IntermediateOptions, SoftcorePolicy
+
+    (tmp_path / "z.sdf").write_text(sdf("c08", 8) + sdf("c14", 14))
+    v = A.with_fingerprints(structures.read_structures(spark, str(tmp_path))).cache()
+    tight = {"softcore": SoftcorePolicy(max_softcore_atoms=4), "edges_per_ligand": 1, "min_cycle_coverage": 0}
+    with pytest.raises(Exception, match="components"):
+        build(v, NetworkOptions(**tight)).selected.collect()
+
+    def generate(a, b):
+        _, atoms, bonds = structures.parse_v2000(sdf("x", 11))
+        return [("int_1", "C11", {"atoms": atoms, "bonds": bonds})]
+
+    net = build(v, NetworkOptions(**tight, intermediates=IntermediateOptions(mode="bridge")), generate=generate)
+    assert {(r.u, r.v) for r in net.selected.collect()} == {("c08", "int_1"), ("c14", "int_1")}
+    assert [r.accepted for r in net.attempts.collect()] == [True] and net.vertices.where("synthetic").count() == 1
+    refused = build(v, NetworkOptions(**tight, require_connected=False, intermediates=IntermediateOptions(mode="gaps")), generate=lambda a, b: "too far apart")
+    assert [r.reason for r in refused.attempts.collect()] == ["too far apart"] and refused.selected.count() == 0
+
+
+def test_command_line_over_structures(spark, chains, tmp_path, capsys):
+    from loomgraph.__main__ import main, weights_of
+
+    source, out = tmp_path / "in", str(tmp_path / "net")
+    source.mkdir()
+    (source / "x.sdf").write_text(sdf("c10", 10) + sdf("c11", 11) + sdf("c12", 12) + sdf("b10", 10, 9))
+    assert main(["plan", str(source), "-o", out, "--format", "json"]) == 0
+    edges = json.loads(capsys.readouterr().out.splitlines()[0])
+    assert len(edges) >= 4 and set(edges[0]) == {"source", "target", "kind", "total"}
+    assert main(["inspect", out, "--format", "csv"]) == 0 and capsys.readouterr().out.startswith("rank,source,target")
+    assert main(["diagnose", out, "--format", "json", "--trials", "5"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["n_edges"] == len(edges)
+    values = tmp_path / "lmi.json"
+    values.write_text(json.dumps({f"{e['source']}~{e['target']}": float(i) for i, e in enumerate(edges)}))
+    assert main(["replan", out, str(values), "--quantile", "0.5", "--format", "json"]) == 0
+    worst = edges[-1]
+    again = json.loads(capsys.readouterr().out)
+    assert {worst["source"], worst["target"]} not in [{e["source"], e["target"]} for e in again]
+    for form in ("json", "graphml", "sdf"):
+        assert main(["export", out, str(tmp_path / form), "--as", form]) == 0
+    assert spark.read.text(str(tmp_path / "graphml")).first().value.count("<node") == 4
+    assert weights_of("a=1,b=2.5") == {"a": 1.0, "b": 2.5} and weights_of(None) is None

@@ -317,3 +317,88 @@ def test_robustness_repeats_and_bounds(spark):
     assert failure_robustness(v, p, 0.0, 5, 1).first().connected_fraction == 1.0
     assert failure_robustness(v, p, 1.0, 5, 1).first().mean_retained == 1.0
     assert 0 <= failure_robustness(v, p, 0.2, 20, 1, rng="sequence").first().connected_fraction <= 1
+
+
+@pytest.mark.parametrize("planner", ["mst", "optimal", "redundant-mst"])
+def test_replans_keep_the_budget_and_what_survives(spark, planner):
+    from loomgraph.operators import replan
+
+    names = [f"n{i}" for i in range(7)]
+    r = np.random.default_rng(9)
+    v, c = tables(spark, {p: float(r.uniform(0.5, 4)) for p in itertools.combinations(names, 2)})
+    design = {"design": "a_optimal"} if planner == "optimal" else {"edges_per_ligand": 2, "min_cycle_coverage": 0.5, "n_redundancy": 1}
+    options = NetworkOptions(n_edges=8, **design)
+    first = G.settle(plan(v, c, options, planner).selected)
+    had = {(x.u, x.v) for x in first.collect()}
+    worst = sorted(had)[0]
+    gone = first.where(F.col("u") == worst[0]).where(F.col("v") == worst[1]).select("campaign", "u", "v")
+    again = edges(replan.replan(v, c, first, gone, options, planner))
+    assert had - {worst} <= again and worst not in again and len(again) <= 8
+    star = replan.replan(v, c, first, gone, NetworkOptions(require_connected=False), "complete")
+    assert worst not in edges(star) and had - {worst} <= edges(star)
+
+
+def test_bans_differ_by_campaign(spark):
+    v, c = tables(spark)
+    both = [x.unionByName(x.withColumn("campaign", F.lit("d"))) for x in (v, c)]
+    marks = spark.createDataFrame([("c", "F", "H", "banned"), ("d", "F", "Me", "forced")], "campaign string, u string, v string, mark string")
+    got = plan(*both, NetworkOptions(edges_per_ligand=1, min_cycle_coverage=0), marks=marks).selected.collect()
+    assert {(r.u, r.v) for r in got if r.campaign == "c"} == {("Cl", "F"), ("Cl", "H"), ("H", "Me")}
+    assert {(r.u, r.v) for r in got if r.campaign == "d"} == {("F", "Me"), ("F", "H"), ("Cl", "F")}
+
+
+def test_pins_hold_their_values():
+    import dataclasses
+
+    old = NetworkOptions.preset("v0.4")
+    pinned = {f.name: getattr(old, f.name) for f in dataclasses.fields(old)}
+    assert (pinned["prefilter_k"], pinned["prefilter_min_tanimoto"], pinned["adaptive_batch_size"], pinned["cluster_bridges"], pinned["n_redundancy"]) == (8, 0.4, 32, 2, 2)
+    assert (old.softcore.max_softcore_fraction, old.softcore.min_core_atoms, old.softcore.min_mcs_fraction, old.softcore.core_rmsd_threshold) == (0.6, 4, 0.35, 2.0)
+    assert (old.intermediates.seed, old.intermediates.min_link_score, old.intermediates.max_dist, old.intermediates.beta) == (0xF00D, 0.2, 3, 0.1)
+    from loomgraph.plans import options as O
+
+    assert set(O.COMPAT_PINS["v0.4"]) | O.COMPAT_FREE | {"compat"} == set(pinned)
+
+
+def test_long_ways(spark):
+    """Chains longer than any number of rounds that was once a limit."""
+    names = [f"n{i:03d}" for i in range(81)]
+    v, c = tables(spark, {(a, b): 1.0 for a, b in zip(names[:-1], names[1:], strict=True)})
+    e = c.selectExpr("campaign", "source AS u", "target AS v", "total AS weight")
+    assert G.spanning_forest(v, e).count() == 80
+    hops = G.hop_counts(v, e)
+    assert hops.count() == 81 * 80 // 2 and hops.agg(F.max("hops")).first()[0] == 80
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_joined_groups_by_their_rule(seed):
+    r = np.random.default_rng(seed)
+    n = 14
+    group = r.integers(0, 5, n)
+    ends = [(a, b) for a, b in itertools.combinations(range(n), 2) if r.random() < 0.5]
+    a, b = (np.array(x) for x in zip(*ends, strict=True))
+    cost, merit = r.integers(1, 5, len(a)).astype(float), r.integers(0, 4, len(a)).astype(float)
+    got = S.join_groups(group, a, b, cost, merit, 2)
+    order = sorted((e for e in range(len(a)) if group[a[e]] != group[b[e]]), key=lambda e: (-merit[e], cost[e], a[e], b[e]))
+    by_pair = {}
+    for e in order:
+        by_pair.setdefault(frozenset((group[a[e]], group[b[e]])), []).append(e)
+    forest, want = S.Forest(set(group.tolist())), set()
+    for pair in sorted(by_pair, key=lambda p: order.index(by_pair[p][0])):
+        if forest.join(*sorted(int(x) for x in pair)):
+            want |= set(by_pair[pair][:2])
+    assert set(got) == want
+
+
+def test_shares_come_with_their_certificate():
+    r = np.random.default_rng(4)
+    ends = list(itertools.combinations(range(8), 2))
+    a, b = (np.array(x) for x in zip(*ends, strict=True))
+    sigma = r.uniform(0.3, 3.0, len(a))
+    t = D.effort(8, a, b, sigma, 5.0)
+    best = D.criterion(D.laplacian(8, a, b, t / sigma**2), "a_optimal")
+    assert -1e-9 <= D.gap(8, a, b, sigma, t) < 1e-3
+    for _ in range(200):  # no other shares do better by more than the certificate says
+        other = np.clip(t + r.normal(0, 0.02, len(t)), 1e-12, None)
+        other *= 5.0 / other.sum()
+        assert D.criterion(D.laplacian(8, a, b, other / sigma**2), "a_optimal") >= best * (1 - D.gap(8, a, b, sigma, t)) - 1e-12

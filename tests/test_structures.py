@@ -229,3 +229,24 @@ def test_cache_evaluates_only_what_is_new(spark):
     first = with_cache(pairs.limit(1), None, ["source", "target"], evaluate)
     both = with_cache(pairs, first, ["source", "target"], evaluate)
     assert both.count() == 2 and seen == [1, 1]
+
+
+def test_cores_are_chosen_among_all_embeddings():
+    # a ring with a tail: the ring fits on itself in twelve ways
+    pts = np.array([[np.cos(k * np.pi / 3), np.sin(k * np.pi / 3), 0.0] for k in range(6)])
+    ring = Molecule((6,) * 6, tuple((k, (k + 1) % 6) for k in range(6)), pts)
+    turned = Molecule((6,) * 6, ring.bonds, np.roll(pts, 2, axis=0))
+    found = M.common_cores(ring, turned, MappingOptions())
+    assert found.complete and len(found.found) == 12
+    assert M.common_core(ring, turned, MappingOptions()) == {k: (k + 2) % 6 for k in range(6)}
+    assert not M.common_cores(ring, turned, MappingOptions(max_matches=3)).complete
+    assert not M.common_cores(ring, turned, MappingOptions(max_steps=5)).complete
+    # equally large cores: the one that leaves one changed region, though the other is nearer
+    long, two = chain(5), [{0: 0, 1: 1, 2: 2}, {1: 0, 2: 1, 3: 2}]
+    short = Molecule((6,) * 3, ((0, 1), (1, 2)), long.points[1:4])
+    assert M.choose_core(long, short, two, "fewest_fragments") == two[0] and M.choose_core(long, short, two, "best_rmsd") == two[1] and M.choose_core(long, short, two, "first") == two[0]
+    double = Molecule((6, 6), ((0, 1),), np.zeros((2, 3)), orders=(2.0,))
+    single = Molecule((6, 6), ((0, 1),), np.zeros((2, 3)), orders=(1.0,))
+    assert len(M.common_core(double, single, MappingOptions())) == 2 and M.common_core(double, single, MappingOptions(match_valences=True)) == {}
+    row = M.map_pair(ring, turned, "mcss-e2", MappingOptions(max_steps=5), SoftcorePolicy())
+    assert row["complete"] is False
