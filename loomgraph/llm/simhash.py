@@ -290,6 +290,7 @@ def _found(docs: DataFrame, split: int) -> DataFrame:
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.drop("least").join(smallest, "component")
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    named = settle(named, "simhash-names")  # so that Spark can split the join of a fingerprint with many rows
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
@@ -302,7 +303,7 @@ def dedup(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """docs with one row of every group of linked fingerprints: the one with the smallest
     doc_id (of several texts under that id, the one with the smallest hash), once. Rows
     without a doc_id stay."""
-    found = _found(docs, split).where("doc_id IS NOT NULL")
+    found = settle(_found(docs, split).where("doc_id IS NOT NULL"), "simhash-found")
     least = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
     keep = settle(least.select(F.col("x.doc_id").alias("_keep_id"), F.col("x.text_hash").alias("_keep_text")), "simhash-keep")
     named = docs.where(docs["doc_id"].isNotNull())
