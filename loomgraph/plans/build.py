@@ -18,7 +18,7 @@ from loomgraph.operators import design
 from loomgraph.operators import graph as G
 from loomgraph.operators import pairs as P
 from loomgraph.operators.adaptive import evaluate_adaptively, gaps
-from loomgraph.operators.intermediates import augment
+from loomgraph.operators.intermediates import augment, reaches
 from loomgraph.operators.mapping import consistent, evaluate
 from loomgraph.operators.pairs import KEY
 from loomgraph.operators.selection import LEAST_COST
@@ -143,24 +143,28 @@ def _augmented(vertices: DataFrame, candidates: DataFrame, options: NetworkOptio
     size = {r[0]: r.n for r in vertices.groupBy(KEY).agg(F.count("*").alias("n")).collect()}
     now, more, log = vertices, candidates, []
     for campaign in sorted({r[0] for r in found}):
-        joined, made = Forest({x for c, x in part if c == campaign} | set(part.values())), {}
-        for (c, x), y in part.items():
-            if c == campaign:
-                joined.join(x, y)
+        own, made, gap = {x: y for (c, x), y in part.items() if c == campaign}, {}, []
+        joined = Forest(set(own))
+        for x, y in own.items():
+            joined.join(x, y)
+
+        def ask(a: str, b: str, gap=gap) -> list | str:
+            gap[:] = [a, b]
+            return generate(a, b)
 
         def rows(new: list, campaign=campaign, made=made) -> DataFrame:
             made |= {x[0]: x for x in new}
             listed = [(campaign, x[0], x[2]["atoms"], x[2]["bonds"]) for x in made.values()]
             return now.unionByName(invented(spark, listed, now)) if listed else now
 
-        def offered(new: list, pairs: list, campaign=campaign, rows=rows, joined=joined) -> dict:
+        def offered(new: list, pairs: list, campaign=campaign, rows=rows, joined=joined, gap=gap) -> dict:
             wanted = spark.createDataFrame([(campaign, *x) for x in pairs], f"{KEY} {kind}, source string, target string")
             got = {(r.source, r.target): r.total for r in judged(rows(new), wanted).where("feasible").collect()}
-            for x, y in got:
-                joined.join(x, y)
+            if reaches(got, *gap):
+                joined.join(*gap)
             return got
 
-        new, edges, attempts = augment([(r.source, r.target) for r in found if r[0] == campaign], generate, offered, lambda a, b, joined=joined: joined.root(a) == joined.root(b), options.intermediates, options.headroom(size[campaign]))
+        new, edges, attempts = augment([(r.source, r.target) for r in found if r[0] == campaign], ask, offered, lambda a, b, joined=joined: joined.root(a) == joined.root(b), options.intermediates, options.headroom(size[campaign]))
         log += [(campaign, x.source, x.target, x.generator, x.accepted, list(x.names), x.reason) for x in attempts]
         if new:
             made.clear()
