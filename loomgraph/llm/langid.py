@@ -395,14 +395,16 @@ def _limits(languages: list[str], stats: dict[str, tuple[int, float, float]]) ->
     return out
 
 
-def identify(docs: DataFrame, model: Model | None, limits: dict[str, float]) -> DataFrame:
-    """docs with lang_pred, score, entropy and rejected."""
+def identify(docs: DataFrame, model: Model | None, limits: dict[str, float], returned: list[str] | None = None) -> DataFrame:
+    """docs with lang_pred, score, entropy and rejected. Of the columns of docs, ``returned``
+    come back from Python (all by default): texts that nothing needs any more need not."""
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "entropy", "rejected")]
+    back = [c for c in keep if returned is None or c in returned]
     docs = docs.select(*keep)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
+        return docs.select(*back).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
     bound = docs.sparkSession.sparkContext.broadcast((model.__dict__, limits))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([*(docs.schema[c] for c in back), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, most = bound.value
@@ -421,8 +423,8 @@ def identify(docs: DataFrame, model: Model | None, limits: dict[str, float]) ->
                 lang = np.array(m.languages, object)[best]
                 lang[none] = "und"
                 yield pa.RecordBatch.from_arrays(
-                    [*b.slice(s, e - s).columns, pa.array(lang, pa.string()), pa.array(score), pa.array(low, mask=none), pa.array(none | (low > worst[best]))],
-                    [*keep, "lang_pred", "score", "entropy", "rejected"],
+                    [*b.slice(s, e - s).select(back).columns, pa.array(lang, pa.string()), pa.array(score), pa.array(low, mask=none), pa.array(none | (low > worst[best]))],
+                    [*back, "lang_pred", "score", "entropy", "rejected"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -439,5 +441,5 @@ def is_held_out(doc_id: int) -> bool:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))).select("lang", "text"))
-    out = identify(docs.select("doc_id", "text"), model, {})  # no column tells of rejections
+    out = identify(docs.select("doc_id", "text"), model, {}, ["doc_id"])  # no column tells of rejections
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
