@@ -202,6 +202,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", forest: str | None = None, p
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of all documents: doc_id, start, n_chars, sha256 of the value, score,
     is_secret (the values themselves are left out of the report)."""
-    got = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source").select("doc_id", F.explode("findings").alias("x"))
+    # an inner explode would have the texts searched twice: the optimizer filters by the size of the findings below it
+    got = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source").select("doc_id", F.explode_outer("findings").alias("x")).where("x IS NOT NULL")
     value: Column = F.col("x.value")
     return got.select("doc_id", F.col("x.start").alias("start"), F.char_length(value).cast("long").alias("n_chars"), F.sha2(value, 256).alias("value_sha256"), F.col("x.score").alias("score"), F.col("x.is_secret").alias("is_secret"))
