@@ -107,6 +107,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         sha, f"substr({alnum}, 1, 32)", f"concat('AKIA', upper(substr({alnum}, 1, 16)))", f"concat('ghp_', substr({alnum}, 1, 36))", f"concat('sk_live_', substr({alnum}, 1, 24))",
         b64, "sha2(concat('k', id), 256)", f"concat('xoxb-', {digits}, '-', substr({alnum}, 1, 20))", f"substr({alnum}, 1, 20)", f"upper({sha})",
         jwt, password, f"substr({mixed}, 1, 24)", f"concat('ghp_', substr({mixed}, 1, 36))", f"concat(lower({password}), substr({sha}, 1, 6))", f"concat(substr({said}, 1, 2), pmod(id, 9), substr({said}, 2, 3), {word(38)}, pmod(id, 100), substr({sha}, 1, 4))",
+        f"concat(lower({mixed}), repeat(translate(substr({sha}, 1, 20), '0123456789', 'ghijklmnop'), CAST(pmod(id, 3) AS INT)), substr({sha}, 21, 18))",  # long, of one case
     ]
     negative = [
         sha, digits, f"concat({word(11)}, '_', {word(12)}, '_', {word(13)}, '_v', pmod(id, 20))", f"concat({word(14)}, '-', {word(15)}, '-', {word(16)}, '-', pmod(id, 3000))",
