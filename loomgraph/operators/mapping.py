@@ -250,10 +250,13 @@ def prune(p: Molecule, q: Molecule, core: dict[int, int], policy: CorePruning) -
     """Without pairs whose properties differ as the policy says. A hydrogen paired with a heavy
     atom takes the heavy side's less conserved branches along."""
 
+    # structures may come without charges and flags
+    charges, aromatic = [m.charges or (0,) * m.n for m in (p, q)], [m.aromatic or (False,) * m.n for m in (p, q)]
+
     def differs(a: int, b: int) -> bool:
         tests = (
             (policy.demote_element_mismatch, p.elements[a], q.elements[b]), (policy.demote_degree_mismatch, p.near[a].bit_count(), q.near[b].bit_count()),
-            (policy.demote_formal_charge_mismatch, p.charges[a], q.charges[b]), (policy.demote_aromaticity_mismatch, p.aromatic[a], q.aromatic[b]),
+            (policy.demote_formal_charge_mismatch, charges[0][a], charges[1][b]), (policy.demote_aromaticity_mismatch, aromatic[0][a], aromatic[1][b]),
             (policy.demote_ring_membership_mismatch, p.ring_atoms >> a & 1, q.ring_atoms >> b & 1),
         )
         return any(on and x != y for on, x, y in tests)
