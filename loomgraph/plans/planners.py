@@ -344,9 +344,7 @@ def _optimal(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOption
     chosen[S.kruskal(pool, forced, np.arange(len(pool)))] = True
     if chosen.sum() > target:
         c.unmet.append(f"n_edges={options.n_edges} is below the {int(chosen.sum())} edges needed to span the ligands")
-    limit = max(int(round(options.design_candidate_factor * c.n)), int(chosen.sum()))
-    wide = chosen.copy()
-    wide[np.flatnonzero(~chosen)[: max(limit - int(chosen.sum()), 0)]] = True
+    wide = _wide(chosen, c.n, options)
     D.descend(pool, chosen, wide, target, options.design)
     if options.design_refine:
         D.exchange(pool, chosen, wide, options.design, set(forced))
@@ -361,6 +359,28 @@ def _optimal(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOption
     return c.output(pool, chosen)
 
 
+def _wide(chosen: np.ndarray, n: int, options: NetworkOptions) -> np.ndarray:
+    """The chosen edges and the cheapest others, to the design's factor of the vertices."""
+    wide = chosen.copy()
+    wide[np.flatnonzero(~chosen)[: max(int(round(options.design_candidate_factor * n)) - int(chosen.sum()), 0)]] = True
+    return wide
+
+
+def _design_pool(vertices: pd.DataFrame, edges: pd.DataFrame, options: NetworkOptions) -> list[tuple]:
+    c = _Campaign(vertices, edges, options)
+    _forced(c, set())
+    pool = S.Pool.of(c.names, [(u, v, max(w, S.LEAST_COST), x) for u, v, w, x in c.pool_edges])
+    number = {tuple(pool.spec(e).split("~")): e for e in range(len(pool))}
+    chosen = np.zeros(len(pool), bool)
+    chosen[S.kruskal(pool, [number[p] for p in sorted(c.forced) if p in number], np.arange(len(pool)))] = True
+    return c.output(pool, _wide(chosen, c.n, options))
+
+
+def design_pool(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions) -> DataFrame:
+    """(campaign, u, v): the pairs that the optimal planner's design chooses from."""
+    return _grouped(vertices, candidates, options, _design_pool).selected.select(KEY, "u", "v")
+
+
 def _grouped(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions, run, marks: DataFrame | None = None) -> Plan:
     """Only names, costs and what the options need go to Python; each campaign is one group.
     ``marks`` (campaign, u, v, mark) are pairs forced or banned in single campaigns."""

@@ -34,6 +34,27 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _forest(name: str, ranked: str, steps: int = 10) -> str:
+    """CTEs for the minimum spanning forest ``name`` of ``ranked`` (campaign, u, v, r): an edge is
+    in it if no way between its ends has a smaller largest rank. Ways double in length by step."""
+    out = f"{name}_0 AS MATERIALIZED (SELECT campaign, u AS a, v AS b, r FROM {ranked} UNION ALL SELECT campaign, v, u, r FROM {ranked})"
+    for k in range(1, steps + 1):
+        last = f"{name}_{k - 1}"
+        out += f""", {name}_{k} AS MATERIALIZED (SELECT campaign, a, b, min(r) AS r FROM (SELECT * FROM {last} UNION ALL SELECT x.campaign, x.a, y.b, greatest(x.r, y.r) FROM {last} x JOIN {last} y ON x.campaign = y.campaign AND x.b = y.a AND x.a <> y.b) GROUP BY campaign, a, b)"""
+    return out + f", {name} AS (SELECT e.* FROM {ranked} e JOIN {name}_{steps} w ON w.campaign = e.campaign AND w.a = e.u AND w.b = e.v AND w.r = e.r)"
+
+
+def _ranked(ties: str) -> str:
+    return f"""{V.CANDIDATES}, ranked AS (SELECT b.campaign, b.u, b.v, b.total, row_number() OVER (PARTITION BY b.campaign ORDER BY b.total, {ties}) AS r
+  FROM best b JOIN nations x ON x.campaign = b.campaign AND x.name = b.u JOIN nations y ON y.campaign = b.campaign AND y.name = b.v)"""
+
+
+# equal costs: ends in input order, then by name; the design's pool goes by name alone
+_INPUT_ORDER = "CASE WHEN x.ord < y.ord THEN u ELSE v END, CASE WHEN x.ord < y.ord THEN v ELSE u END"
+_RANKED, _RANKED_BY_NAME = _ranked(_INPUT_ORDER), _ranked("u, v")
+_BARE = {"edges_per_ligand": 1, "min_cycle_coverage": 0, "require_connected": False}
+
+
 def _r(c, n: int = 9):
     return F.round(c, n)
 
@@ -203,7 +224,10 @@ def _(s, d):
     return pairs.prefilter(all_pairs, pairs.similarities(all_pairs, v), 3, 0.5).select(KEY, "source", "target")
 
 
-@query("d05_reconnect_pairs")
+@query("d05_reconnect_pairs", f"""WITH {V.VECTORS}, ends AS (SELECT campaign, source, target, sim, source AS own, target AS other FROM sims UNION ALL SELECT campaign, source, target, sim, target, source FROM sims),
+ kept AS (SELECT DISTINCT campaign, source, target FROM (SELECT *, row_number() OVER (PARTITION BY campaign, own ORDER BY sim DESC, other) AS r FROM ends) WHERE r <= 1 OR sim >= 1.0),
+ ranked AS (SELECT s.campaign, s.source AS u, s.target AS v, k.source IS NULL AS back, row_number() OVER (PARTITION BY s.campaign ORDER BY k.source IS NULL, s.sim DESC, s.source, s.target) AS r FROM sims s LEFT JOIN kept k ON k.campaign = s.campaign AND k.source = s.source AND k.target = s.target),
+ {_forest("f", "ranked")} SELECT campaign, u, v FROM f WHERE back""")
 def _(s, d):
     v = V.vectors(s, d)
     all_pairs = pairs.expand(v)
@@ -436,7 +460,7 @@ def _(s, d):
 
 
 # equal costs follow the input order of the vertices
-@query("i10_spanning_tree_planner", _mst_sql("CASE WHEN x.ord < y.ord THEN u ELSE v END, CASE WHEN x.ord < y.ord THEN v ELSE u END"))
+@query("i10_spanning_tree_planner", _mst_sql(_INPUT_ORDER))
 def _(s, d):
     t = V.trade(s, d)
     c = t.select(KEY, F.lit(0).alias("cand_ord"), F.col("u").alias("source"), F.col("v").alias("target"), F.col("weight").alias("total"), F.lit(True).alias("feasible"))
@@ -506,9 +530,16 @@ def _(s, d):
     return diagnostics.failure_robustness(V.nations(s, d), V.sparse(s, d), 0.05, 100, 20260824)
 
 
-@query("i25_closure_errors")
+@query("i25_closure_errors", f"""{_HOPS}, sarcs AS (SELECT campaign, u AS a, v AS b, weight - 10 AS value FROM sparse UNION ALL SELECT campaign, v, u, 10 - weight FROM sparse),
+ paths AS (SELECT campaign, a AS x, [a] AS path, 0.0::DOUBLE AS potential, 0 AS k FROM dist GROUP BY campaign, a HAVING min(b) = a
+  UNION ALL SELECT p.campaign, s.b, list_append(path, s.b), potential + s.value, p.k + 1 FROM paths p JOIN sarcs s ON s.campaign = p.campaign AND s.a = p.x JOIN dist d ON d.campaign = p.campaign AND d.a = p.path[1] AND d.b = s.b AND d.k = p.k + 1),
+ tree AS (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY campaign, x ORDER BY path) = 1),
+ closed AS (SELECT s.campaign, s.u || '~' || s.v AS cycle, x.path AS p, y.path AS q, x.potential + (s.weight - 10) - y.potential AS error FROM sparse s JOIN tree x ON x.campaign = s.campaign AND x.x = s.u JOIN tree y ON y.campaign = s.campaign AND y.x = s.v
+  WHERE NOT (len(y.path) > 1 AND y.path[len(y.path) - 1] = s.u) AND NOT (len(x.path) > 1 AND x.path[len(x.path) - 1] = s.v))
+SELECT campaign, cycle, CAST(len(p) + len(q) - 2 * len(list_filter(range(1, least(len(p), len(q)) + 1), lambda i: p[1:i] = q[1:i])) + 1 AS INTEGER) AS size, round(error, 6) AS error FROM closed""")
 def _(s, d):
-    return G.closure_errors(V.nations(s, d), V.sparse(s, d).withColumn("value", F.col("weight") - 10))
+    """Per connected part the tree of first shortest ways, by names, from its first vertex."""
+    return G.closure_errors(V.nations(s, d), V.sparse(s, d).withColumn("value", F.col("weight") - 10)).withColumn("error", _r("error", 6))
 
 
 def _planned(name: str, planner: str, **options):
@@ -562,7 +593,8 @@ def _sigmas(s, d) -> DataFrame:
 
 @query("j06_j08_criteria")
 def _(s, d):
-    return design.summarize(V.nations(s, d), _sigmas(s, d))
+    x = design.summarize(V.nations(s, d), _sigmas(s, d))
+    return x.select(KEY, _r("a_optimal").alias("a_optimal"), _r("d_optimal", 6).alias("d_optimal"))
 
 
 @query("j07_j09_resistance_and_effort")
@@ -578,11 +610,68 @@ def _(s, d):
     return e.groupBy(KEY).agg(_r(F.sum(F.col("resistance") / (F.col("sigma") * F.col("sigma"))), 6).alias("total"))
 
 
-@query("g02_design_pool", f"WITH {V.CANDIDATES} SELECT campaign, u, v FROM best QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY total, u, v) <= round(2.0 * 25)")
+def _inverse(name: str, matrix: str, n: int = 25) -> str:
+    """CTEs: ``name`` (campaign, i, j, x), minus the inverse of ``matrix`` over i, j = 1 .. n, by one
+    sweep a row, and ``name_pivots`` (campaign, x), whose product is the determinant."""
+    out, last = "", matrix
+    for k in range(1, n + 1):
+        cell = f"CASE WHEN c.i = {k} AND c.j = {k} THEN -1 / p.x WHEN c.i = {k} OR c.j = {k} THEN c.x / p.x ELSE c.x - a.x * b.x / p.x END"
+        out += f"""{name}_{k} AS MATERIALIZED (SELECT c.campaign, c.i, c.j, {cell} AS x FROM {last} c JOIN {last} p ON p.campaign = c.campaign AND p.i = {k} AND p.j = {k} JOIN {last} a ON a.campaign = c.campaign AND a.i = c.i AND a.j = {k} JOIN {last} b ON b.campaign = c.campaign AND b.i = {k} AND b.j = c.j), """
+        last = f"{name}_{k}"
+    pivots = " UNION ALL ".join(f"SELECT campaign, x FROM {matrix if k == 1 else f'{name}_{k - 1}'} WHERE i = {k} AND j = {k}" for k in range(1, n + 1))
+    return out + f"{name} AS (SELECT * FROM {last}), {name}_pivots AS ({pivots})"
+
+
+# the Laplacian with 1 / n in every cell has the same inverse up to that, where all are connected
+_LAPLACE = f"""WITH RECURSIVE {V.NATIONS}, arcs AS (SELECT campaign, u AS a, v AS b, 1 / ((1 / sqrt(lines)) * (1 / sqrt(lines))) AS w FROM trade UNION SELECT campaign, v, u, 1 / ((1 / sqrt(lines)) * (1 / sqrt(lines))) FROM trade), reach AS (SELECT campaign, name AS a, name AS b FROM nations UNION SELECT r.campaign, r.a, arcs.b FROM reach r JOIN arcs ON r.campaign = arcs.campaign AND r.b = arcs.a),
+ whole AS (SELECT campaign, count(*) = 625 AS one FROM reach GROUP BY campaign), place AS (SELECT campaign, name, row_number() OVER (PARTITION BY campaign ORDER BY name) AS i FROM nations),
+ laplace AS MATERIALIZED (SELECT x.campaign, x.i, y.i AS j, 1 / 25 + CASE WHEN x.i = y.i THEN coalesce((SELECT sum(w) FROM arcs WHERE arcs.campaign = x.campaign AND arcs.a = x.name), 0) ELSE -coalesce(arcs.w, 0) END AS x FROM place x JOIN place y ON x.campaign = y.campaign LEFT JOIN arcs ON arcs.campaign = x.campaign AND arcs.a = x.name AND arcs.b = y.name),
+ {_inverse("inv", "laplace")}"""
+SQL["j06_j08_criteria"] = f"""{_LAPLACE}, t AS (SELECT campaign, -sum(x) - 1 AS a FROM inv WHERE i = j GROUP BY campaign), l AS (SELECT campaign, -sum(ln(x)) AS d FROM inv_pivots GROUP BY campaign)
+SELECT campaign, CASE WHEN one THEN round(a, 9) ELSE 'inf'::DOUBLE END AS a_optimal, CASE WHEN one THEN round(d, 6) ELSE 'inf'::DOUBLE END AS d_optimal FROM whole JOIN t USING (campaign) JOIN l USING (campaign)"""
+
+
+@query("j05_covariance", f"{_LAPLACE} SELECT campaign, p.name AS i, q.name AS j, round(-x - 1 / 25, 9) + 0.0 AS value FROM inv JOIN whole USING (campaign) JOIN place p USING (campaign, i) JOIN place q ON q.campaign = inv.campaign AND q.i = inv.j WHERE one")
+def _(s, d):
+    return design.covariances(V.nations(s, d), _sigmas(s, d)).withColumn("value", _r("value") + 0.0)
+
+
+@query("j07_resistances", f"""{_LAPLACE}, e AS (SELECT t.campaign, u, v, p.i, q.i AS j FROM trade t JOIN place p ON p.campaign = t.campaign AND p.name = u JOIN place q ON q.campaign = t.campaign AND q.name = v JOIN whole ON whole.campaign = t.campaign AND one)
+SELECT e.campaign, e.u, e.v, round(sum(CASE WHEN a.j = e.i THEN b.x - a.x WHEN a.j = e.j THEN a.x - b.x ELSE 0 END), 9) AS resistance, round(sum((a.x - b.x) * (a.x - b.x)), 12) AS gradient
+FROM e JOIN inv a ON a.campaign = e.campaign AND a.i = e.i JOIN inv b ON b.campaign = e.campaign AND b.i = e.j AND b.j = a.j GROUP BY e.campaign, e.u, e.v""")
+def _(s, d):
+    e = design.per_edge(V.nations(s, d), _sigmas(s, d)).where("effort IS NOT NULL AND NOT isnan(effort)")
+    return e.select(KEY, "u", "v", _r("resistance").alias("resistance"), _r("gradient", 12).alias("gradient"))
+
+
+@query("g02_design_pool", f"WITH {_RANKED_BY_NAME}, {_forest('f', 'ranked')} SELECT campaign, u, v FROM (SELECT r.*, row_number() OVER (PARTITION BY r.campaign ORDER BY f.r IS NULL, r.r) AS place FROM ranked r LEFT JOIN f ON f.campaign = r.campaign AND f.r = r.r) WHERE place <= 50")
+def _(s, d):
+    return planners.design_pool(V.nations(s, d), V.candidates(s, d), NetworkOptions(design="a_optimal", design_candidate_factor=2.0, require_connected=False))
+
+
+# ------------------------------------------------------------------ whole plans that SQL can follow
+
+
+@query("i11_two_forests", f"WITH {_RANKED}, {_forest('f', 'ranked')}, rest AS (SELECT ranked.* FROM ranked ANTI JOIN f USING (campaign, r)), {_forest('g', 'rest')} SELECT campaign, u, v FROM f UNION ALL SELECT campaign, u, v FROM g")
+def _(s, d):
+    return planners.plan(V.nations(s, d), V.candidates(s, d), NetworkOptions(**_BARE, n_redundancy=2), "redundant-mst").selected.select(KEY, "u", "v")
+
+
+@query("i38_all_cbfe_forest", f"""WITH {V.NATIONS}, ranked AS (SELECT a.campaign, least(a.name, b.name) AS u, greatest(a.name, b.name) AS v, 8.0::DOUBLE + 0.05::DOUBLE * (a.n_heavy + b.n_heavy) AS total,
+  row_number() OVER (PARTITION BY a.campaign ORDER BY 8.0::DOUBLE + 0.05::DOUBLE * (a.n_heavy + b.n_heavy), a.name, b.name) AS r FROM nations a JOIN nations b ON a.campaign = b.campaign AND a.ord < b.ord), {_forest('f', 'ranked')}
+SELECT campaign, u, v, 'cbfe' AS kind, round(total, 9) AS total FROM f""")
+def _(s, d):
+    return planners.plan(V.nations(s, d), V.candidates(s, d), NetworkOptions(**_BARE, cbfe_mode="all")).selected.select(KEY, "u", "v", "kind", _r("total").alias("total"))
+
+
+@query("i30_replan_forest", f"""{_LMI.replace(V.SPARSE, _RANKED + ', sparse AS (SELECT campaign, u, v, lines FROM trade JOIN best USING (campaign, u, v))')}, {_forest('f', 'ranked')}, mine AS (SELECT campaign, u, v, lmi FROM lmi JOIN f USING (campaign, u, v)),
+ high AS (SELECT campaign, u, v FROM mine JOIN (SELECT campaign, quantile_cont(lmi, 0.9) AS cut FROM mine GROUP BY campaign) USING (campaign) WHERE lmi > cut),
+ again AS (SELECT x.campaign, x.u, x.v, row_number() OVER (PARTITION BY x.campaign ORDER BY f.r IS NULL, x.r) AS r FROM (SELECT * FROM ranked ANTI JOIN high USING (campaign, u, v)) x LEFT JOIN f ON f.campaign = x.campaign AND f.r = x.r), {_forest('g', 'again')}
+SELECT campaign, u, v FROM g""")
 def _(s, d):
-    row = Window.partitionBy(KEY).orderBy("total", "u", "v")
-    best = planners.best_by_pair(V.candidates(s, d))
-    return best.withColumn("_r", F.row_number().over(row)).where("_r <= 50").select(KEY, "u", "v")
+    v, c, o = V.nations(s, d), V.candidates(s, d), NetworkOptions(**_BARE)
+    kept = G.settle(planners.plan(v, c, o).selected)
+    return replan.replan(v, c, kept, replan.high_edges(kept, _lmi(s, d), o, require_complete=False), o).selected.select(KEY, "u", "v")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
