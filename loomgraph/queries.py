@@ -78,6 +78,26 @@ def _(s, d):
     return parse_edge_lines(lines, ">>>").select(KEY, "a", "b")
 
 
+@query("a08_edge_list_reader_two", f"WITH {V.TRADE} SELECT campaign, u AS a, v AS b FROM trade WHERE lines % 5 <> 0")
+def _(s, d):
+    from loomgraph.sources.edges import parse_edge_lines
+
+    arrows = F.concat("u", F.lit(" >> "), "v", F.lit("  # "), F.col("lines").cast("string"))
+    lines = V.trade(s, d).select(KEY, F.when(F.col("lines") % 5 == 0, F.concat(F.lit("# "), arrows)).otherwise(arrows).alias("value"))
+    return parse_edge_lines(lines, ">>").select(KEY, "a", "b")
+
+
+@query("b07_masks", f"""WITH {V.PART_PAIRS} SELECT campaign, source, target, {", ".join(f"CASE WHEN s{k} > 0 THEN ':{m}&@' || array_to_string(list_sort(list_transform(range(core, n_heavy_{k}), lambda i: 'C' || i)), ',') ELSE '' END AS {x}_mask" for k, m, x in ((1, "SRC", "source"), (2, "TGT", "target")))} FROM pp WHERE core > 0""")
+def _(s, d):
+    from loomgraph.sources.writers import masks
+
+    def names(first, last):
+        return F.when(F.expr(f"{last} > {first}"), F.transform(F.expr(f"sequence({first}, {last} - 1)"), lambda i: F.concat(F.lit("C"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+    p = V.part_pairs(s, d).where("core > 0").select(KEY, "source", "target", *[names("0L", "core").alias(f"core_names_{k}") for k in (1, 2)], *[names("core", f"n_heavy_{k}").alias(f"soft_names_{k}") for k in (1, 2)])
+    return masks(p).select(KEY, "source", "target", "source_mask", "target_mask")
+
+
 @query("b03_edge_list_lines", f"""WITH {V.CANDIDATES} SELECT campaign, source || ' ' || target || ' ' || printf('%.6f', total) || ' ' || n_sc_1 || ' ' || n_sc_2 || ' rbfe' AS line FROM best""")
 def _(s, d):
     from loomgraph.sources.writers import edge_list_lines
@@ -150,6 +170,31 @@ def _(s, d):
     return m.select(KEY, "source", "target", F.size("m.cc1").cast("long").alias("n_core"), F.size("m.sc1").cast("long").alias("n_soft_1"), F.size("m.sc2").cast("long").alias("n_soft_2"), F.array_min(soft).cast("long").alias("first_soft_1"), mappings.problem(c("m")).alias("problem"))
 
 
+@query("c04_swapped_sides", f"WITH {V.PART_PAIRS} SELECT campaign, target AS source, source AS target, core AS n_core, s2 AS n_soft_1, s1 AS n_soft_2, n_heavy_2 AS n_atoms_1, CASE WHEN core > 0 THEN 0 END AS last_core_on, CAST(NULL AS VARCHAR) AS problem FROM pp")
+def _(s, d):
+    """Cores run against each other, so that the sides differ: atom i on atom core - 1 - i."""
+    c = F.col
+    core = F.when(c("core") > 0, F.sequence(F.lit(0), (c("core") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    m = mappings.swapped(mappings.from_core(core, F.reverse(core), c("n_heavy_1").cast("int"), c("n_heavy_2").cast("int")))
+    x = V.part_pairs(s, d).select(KEY, F.col("target").alias("source"), F.col("source").alias("target"), "core", m.alias("m"))
+    on = mappings.forward(c("m"))[(c("core") - 1).cast("int")]
+    return x.select(KEY, "source", "target", F.size("m.cc1").cast("long").alias("n_core"), F.size("m.sc1").cast("long").alias("n_soft_1"), F.size("m.sc2").cast("long").alias("n_soft_2"), F.col("m.n_atoms_1").cast("long").alias("n_atoms_1"), on.cast("long").alias("last_core_on"), mappings.problem(c("m")).alias("problem"))
+
+
+@query("c10_attachment_gate", f"WITH {V.PART_PAIRS} SELECT campaign, source, target, CASE WHEN (s1 > 0 AND core = 0) OR (s2 > 0 AND core = 0) OR (s1 > 0 AND n_heavy_1 % 2 = 0) OR (s2 > 0 AND n_heavy_2 % 2 = 0) THEN 'softcore_multiple_attachments' END AS reason FROM pp")
+def _(s, d):
+    """Chains of atoms, the core first; even ones have a second bond from the first atom to the last."""
+
+    def bonds(n):
+        chain = F.transform(F.expr(f"sequence(0, CAST({n} AS INT) - 1)"), lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
+        return F.concat(F.filter(chain, lambda x: x["b"] < F.col(n)), F.filter(F.array(F.struct(F.lit(0).alias("a"), (F.col(n) - 1).cast("int").alias("b"))), lambda x: F.col(n) % 2 == 0))
+
+    def soft(n):
+        return F.filter(F.expr(f"sequence(0, CAST({n} AS INT) - 1)"), lambda i: i >= F.col("core"))
+
+    return V.part_pairs(s, d).select(KEY, "source", "target", gates.attachment(soft("n_heavy_1"), bonds("n_heavy_1"), soft("n_heavy_2"), bonds("n_heavy_2")).alias("reason"))
+
+
 @query("d14_identity_mapping", f"WITH {V.PART_PAIRS} SELECT campaign, source, target, least(n_heavy_1, n_heavy_2) AS n_core, n_heavy_1 - least(n_heavy_1, n_heavy_2) AS n_soft_1, n_heavy_2 - least(n_heavy_1, n_heavy_2) AS n_soft_2 FROM pp")
 def _(s, d):
     m = V.part_pairs(s, d).select(KEY, "source", "target", mappings.identity(F.col("n_heavy_1").cast("int"), F.col("n_heavy_2").cast("int")).alias("m"))
@@ -257,6 +302,36 @@ def _(s, d):
     return surgery.merge(best.where("char_length(u) % 2 = 0"), right)
 
 
+@query("d07_cbfe_edges", f"""WITH {V.SPARSE} SELECT a.campaign, a.name AS source, b.name AS target, 'cbfe' AS kind, round(8.0 + 0.05 * (a.n_heavy + b.n_heavy), 9) AS total, true AS feasible FROM nations a JOIN nations b ON a.campaign = b.campaign AND a.name < b.name ANTI JOIN sparse ON sparse.campaign = a.campaign AND sparse.u = a.name AND sparse.v = b.name""")
+def _(s, d):
+    out = cbfe.as_candidates(cbfe.pool(V.nations(s, d), NetworkOptions(), V.sparse(s, d)))
+    return out.select(KEY, "source", "target", "kind", _r("total").alias("total"), "feasible")
+
+
+@query("d18_merge_candidates", f"""WITH {V.CANDIDATES}, sides AS (SELECT campaign, source, target, total, feasible, 0 AS side FROM cand WHERE length(source) % 2 = 0 UNION ALL SELECT campaign, source, target, total + length(target) % 3 - 1, feasible AND length(target) % 5 <> 0, 1 FROM cand)
+SELECT campaign, source, target, round(total, 9) AS total, feasible, side FROM sides QUALIFY row_number() OVER (PARTITION BY campaign, source, target ORDER BY feasible DESC, total NULLS LAST, side) = 1""")
+def _(s, d):
+    c = V.candidates(s, d).select(KEY, "source", "target", "total", "feasible")
+    left = c.where("char_length(source) % 2 = 0").withColumn("side", F.lit(0))
+    right = c.withColumns({"total": F.col("total") + F.char_length("target") % 3 - 1, "feasible": F.col("feasible") & (F.char_length("target") % 5 != 0), "side": F.lit(1)})
+    return surgery.merge_candidates(left, right).withColumn("total", _r("total"))
+
+
+@query("d17_i28_concatenate", f"""WITH {V.CANDIDATES}, side AS (SELECT campaign, name, charge < 2 AS low FROM nations), e AS (SELECT b.campaign, b.u, b.v, b.total, x.low AS lu, y.low AS lv FROM best b JOIN side x ON x.campaign = b.campaign AND x.name = b.u JOIN side y ON y.campaign = b.campaign AND y.name = b.v),
+ one AS (SELECT * FROM e WHERE lu <> lv QUALIFY row_number() OVER (PARTITION BY campaign ORDER BY total, u, v) = 1),
+ two AS (SELECT e.* FROM e JOIN one ON one.campaign = e.campaign WHERE e.lu <> e.lv AND (e.u, e.v) <> (one.u, one.v)
+  QUALIFY row_number() OVER (PARTITION BY e.campaign ORDER BY CAST(e.u IN (one.u, one.v) AS INT) + CAST(e.v IN (one.u, one.v) AS INT), e.total, e.u, e.v) = 1)
+SELECT campaign, u, v, round(total, 9) AS total FROM (SELECT campaign, u, v, total FROM e WHERE lu = lv UNION ALL SELECT campaign, u, v, total FROM one UNION ALL SELECT campaign, u, v, total FROM two)""")
+def _(s, d):
+    """Networks within the low and the high regions, and two bridges between them."""
+    low = V.nations(s, d).select(KEY, "name", (F.col("charge") < 2).alias("low"))
+    e = _net(s, d)
+    for x in "uv":
+        e = e.join(low.select(KEY, F.col("name").alias(x), F.col("low").alias(f"low_{x}")), [KEY, x])
+    e = G.settle(e)
+    return surgery.concatenate(e.where("low_u AND low_v"), e.where("NOT low_u AND NOT low_v"), e.where("low_u <> low_v")).select(KEY, "u", "v", _r("total").alias("total"))
+
+
 # ------------------------------------------------------------------ scores
 
 
@@ -577,6 +652,41 @@ def _(s, d):
     return diagnostics.summarize(v, G.settle(planners.plan(v, V.candidates(s, d), NetworkOptions(require_connected=False)).selected))
 
 
+@query("e20_summary_of_trade", f"""{_HOPS}{_BRIDGES.removeprefix(f"WITH RECURSIVE {V.SPARSE}")}, deg AS (SELECT n.campaign, n.name, count(e.u) AS degree, coalesce(bool_or(NOT br.is_bridge), false) AS cycled FROM nations n LEFT JOIN sparse e ON n.campaign = e.campaign AND n.name IN (e.u, e.v) LEFT JOIN br ON br.campaign = e.campaign AND br.u = e.u AND br.v = e.v GROUP BY n.campaign, n.name),
+ vs AS (SELECT campaign, count(*) AS n_vertices, min(degree) AS least, avg(degree) AS mean, max(degree) AS most, count(*) FILTER (degree = 0) AS isolated, avg(CAST(cycled AS INT)) AS node_cycle_coverage FROM deg GROUP BY campaign),
+ es AS (SELECT campaign, count(*) AS n_edges, sum(weight) AS cost, avg(weight) AS efficiency, count(*) FILTER (length(u) % 3 <> 0) AS n_rbfe, count(*) FILTER (length(u) % 3 = 0) AS n_cbfe FROM sparse GROUP BY campaign),
+ bs AS (SELECT campaign, count(*) FILTER (is_bridge) AS bridges, avg(1 - CAST(is_bridge AS INT)) AS edge_cycle_coverage FROM br GROUP BY campaign),
+ ds AS (SELECT campaign, CASE WHEN count(*) = 625 THEN CAST(max(k) AS BIGINT) END AS diameter FROM dist GROUP BY campaign),
+ near AS (SELECT campaign, u AS a, v AS b FROM sparse UNION ALL SELECT campaign, v, u FROM sparse),
+ tri AS (SELECT x.campaign, count(*) AS n FROM sparse x JOIN sparse y ON x.campaign = y.campaign AND x.v = y.u JOIN sparse z ON z.campaign = x.campaign AND z.u = x.u AND z.v = y.v GROUP BY x.campaign),
+ squares AS (SELECT p.campaign, count(*) / 2 AS n FROM near p JOIN near q ON p.campaign = q.campaign AND p.b = q.a AND p.a < q.b JOIN near r ON r.campaign = p.campaign AND r.a = p.a AND r.b > p.b JOIN near o ON o.campaign = p.campaign AND o.a = r.b AND o.b = q.b GROUP BY p.campaign)
+SELECT campaign, n_edges, round(cost, 6) AS cost, round(efficiency, 6) AS efficiency, n_rbfe, n_cbfe, round(n_rbfe * 3.97::DOUBLE + n_cbfe * (3.97::DOUBLE * 3.2), 6) AS gpu_hours, round((n_rbfe * 3.97::DOUBLE + n_cbfe * (3.97::DOUBLE * 3.2)) * 0.4, 6) AS price, least, round(mean, 6) AS mean, most, isolated, n_vertices,
+ CAST(ceil(n_vertices * ln(n_vertices)) AS BIGINT) AS recommended, greatest(0, CAST(ceil(n_vertices * ln(n_vertices)) AS BIGINT) - n_edges) AS shortfall, diameter, CAST(coalesce(tri.n, 0) + coalesce(squares.n, 0) AS BIGINT) AS cycles, bridges, round(edge_cycle_coverage, 6) AS edge_cycle_coverage, round(node_cycle_coverage, 6) AS node_cycle_coverage
+FROM vs JOIN es USING (campaign) JOIN bs USING (campaign) JOIN ds USING (campaign) LEFT JOIN tri USING (campaign) LEFT JOIN squares USING (campaign)""")
+def _(s, d):
+    e = V.sparse(s, d).withColumns({"total": F.col("weight"), "kind": F.when(F.char_length("u") % 3 == 0, "cbfe").otherwise("rbfe")})
+    out = diagnostics.summarize(V.nations(s, d), G.settle(e))
+    return out.withColumns({c: _r(c, 6) for c in ("cost", "efficiency", "gpu_hours", "price", "mean", "edge_cycle_coverage", "node_cycle_coverage")})
+
+
+@query("f03_adaptive_rank", f"""{_HOPS}, deg AS (SELECT n.campaign, n.name, count(e.u) AS degree FROM nations n LEFT JOIN sparse e ON n.campaign = e.campaign AND n.name IN (e.u, e.v) GROUP BY n.campaign, n.name),
+ left_over AS (SELECT a.campaign, a.name AS source, b.name AS target, 1.0 / (1 + abs(a.n_heavy - b.n_heavy) + (a.ord + b.ord) % 7) AS sim FROM nations a JOIN nations b ON a.campaign = b.campaign AND a.ord < b.ord ANTI JOIN sparse s ON s.campaign = a.campaign AND s.u = least(a.name, b.name) AND s.v = greatest(a.name, b.name)),
+ x AS (SELECT l.*, CAST(p.degree < 12 AS INT) + CAST(q.degree < 12 AS INT) AS deficient, CASE WHEN k IS NULL OR k + 1 > 3 THEN 1048576 ELSE k + 1 END AS cycle_size FROM left_over l JOIN deg p ON p.campaign = l.campaign AND p.name = source JOIN deg q ON q.campaign = l.campaign AND q.name = target LEFT JOIN dist d ON d.campaign = l.campaign AND d.a = source AND d.b = target)
+SELECT campaign, source, target, deficient, CAST(cycle_size AS INTEGER) AS cycle_size, row_number() OVER (PARTITION BY campaign ORDER BY deficient DESC, cycle_size, sim DESC, least(source, target), greatest(source, target)) AS rank FROM x""")
+def _(s, d):
+    from loomgraph.operators.adaptive import expansion
+
+    v, e = V.nations(s, d), G.settle(V.sparse(s, d))
+    p = pairs.expand(v).withColumns({"u": F.least("source", "target"), "v": F.greatest("source", "target")})
+    size = v.select(KEY, "name", "n_heavy")
+    for x in ("source", "target"):
+        p = p.join(size.select(KEY, F.col("name").alias(x), F.col("n_heavy").alias(f"h_{x}")), [KEY, x])
+    sims = p.withColumn("sim", 1 / (1 + F.abs(F.col("h_source") - F.col("h_target")) + (F.col("ord_1") + F.col("ord_2")) % 7))
+    done = sims.join(e.select(KEY, "u", "v"), [KEY, "u", "v"], "left_semi").select(KEY, "source", "target")
+    out = expansion(sims.select(KEY, "source", "target", "sim"), done, e, v, NetworkOptions(edges_per_ligand=12, max_cycle_size=3))
+    return out.select(KEY, "source", "target", "deficient", "cycle_size", F.col("rank").cast("long").alias("rank"))
+
+
 # ------------------------------------------------------------------ designs
 
 
