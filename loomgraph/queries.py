@@ -716,7 +716,7 @@ def _(s, d):
  comp AS (SELECT campaign, a, min(b) AS c FROM reach GROUP BY campaign, a) SELECT campaign, CAST(count(*) - count(DISTINCT c) AS DOUBLE) AS total FROM comp GROUP BY campaign""")
 def _(s, d):
     """Resistance times weight adds up to the number of vertices less that of components."""
-    e = design.per_edge(V.nations(s, d), _sigmas(s, d))
+    e = design.per_edge(V.nations(s, d), _sigmas(s, d), shares=False)
     return e.groupBy(KEY).agg(_r(F.sum(F.col("resistance") / (F.col("sigma") * F.col("sigma"))), 6).alias("total"))
 
 
@@ -750,7 +750,9 @@ def _(s, d):
 SELECT e.campaign, e.u, e.v, round(sum(CASE WHEN a.j = e.i THEN b.x - a.x WHEN a.j = e.j THEN a.x - b.x ELSE 0 END), 9) AS resistance, round(sum((a.x - b.x) * (a.x - b.x)), 12) AS gradient
 FROM e JOIN inv a ON a.campaign = e.campaign AND a.i = e.i JOIN inv b ON b.campaign = e.campaign AND b.i = e.j AND b.j = a.j GROUP BY e.campaign, e.u, e.v""")
 def _(s, d):
-    e = design.per_edge(V.nations(s, d), _sigmas(s, d)).where("effort IS NOT NULL AND NOT isnan(effort)")
+    v, e = V.nations(s, d), _sigmas(s, d)
+    whole = design.covariances(v, e).select(KEY).distinct()
+    e = design.per_edge(v, e, shares=False).join(whole, KEY, "left_semi")
     return e.select(KEY, "u", "v", _r("resistance").alias("resistance"), _r("gradient", 12).alias("gradient"))
 
 
