@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
-from loomgraph.operators.pairs import KEY
+from loomgraph.operators.pairs import KEY, Cell, compared
 from loomgraph.plans.options import NetworkOptions
 
 
@@ -17,7 +19,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def seed(sims: DataFrame, neighbours: int, forced: DataFrame | None = None) -> DataFrame:
-    """Forced pairs and the first ``neighbours`` pairs of every vertex, the most similar first."""
+    """Forced pairs and the first ``neighbours`` pairs of every vertex, the most similar first.
+    ``sims`` are those of all pairs, or what ``pairs.nearest`` leaves of them by pair."""
     row = Window.partitionBy(KEY, "own").orderBy(F.desc("sim"), "source", "target")
     first = _ends(sims).withColumn("_r", F.row_number().over(row)).where(F.col("_r") <= neighbours).select(KEY, "source", "target").distinct()
     return first if forced is None else first.union(forced.select(KEY, "source", "target")).distinct()
@@ -30,6 +33,41 @@ def gaps(sims: DataFrame, feasible: DataFrame, most: int | None = None) -> DataF
     return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
+def best_open(vertices: DataFrame, near: DataFrame, top_k: int, floor: float, most: int) -> DataFrame:
+    """Pairs among which are the ``most`` most similar of every campaign that ``prefilter`` drops,
+    for ``gaps``. ``near`` is what ``nearest`` gives for the same ``top_k`` and ``floor``.
+
+    Each vertex brings the last of its ``top_k`` pairs, so a block tells by itself which of its
+    pairs are dropped.
+    """
+    ends = near.select(KEY, "sim", F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("target").alias("other")), F.struct(F.col("target").alias("name"), F.col("source").alias("other")))).alias("x")).select(KEY, "sim", "x.*")
+    ranked = ends.withColumn("_r", F.row_number().over(Window.partitionBy(KEY, "name").orderBy(F.desc("sim"), "other")))
+    last = ranked.where(F.col("_r") == top_k).select(KEY, "name", F.col("sim").alias("_last"), F.col("other").alias("_other"))
+
+    def first(cell: Cell, at: np.ndarray, sim: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        names = sorted(cell.place)
+        least = cell.table["_last"].to_numpy()[at].astype(float)[:, None]  # nan: fewer pairs than top_k
+        other = cell.table["_other"].to_pylist()
+        until = np.array([-1 if other[k] is None else bisect_right(names, other[k]) - 1 for k in at], np.int64)[:, None]
+        return np.isnan(least) | (sim > least) | ((sim == least) & (rank[None, :] <= until))
+
+    def pick(cell: Cell) -> np.ndarray:
+        kept = first(cell, cell.at_a, cell.sim, cell.rank_b) | first(cell, cell.at_b, cell.sim.T, cell.rank_a).T
+        left = cell.valid & ~kept & (cell.sim < floor)
+        if cell.alone:
+            left &= cell.ord_a[:, None] < cell.ord_b[None, :]
+        value = cell.sim[left]
+        if len(value) > most:
+            left &= cell.sim >= -np.partition(-value, most - 1)[most - 1]
+        i, j = np.nonzero(left)
+        cut = cell.cut(i, j, cell.sim[i, j], np.zeros(len(i), np.int64), most, True)
+        out = np.zeros(cell.sim.shape, bool)
+        out[i[cut], j[cut]] = True
+        return out
+
+    return compared(vertices.join(last, [KEY, "name"], "left"), pick, "_last", "_other")
+
+
 def expansion(sims: DataFrame, done: DataFrame, selected: DataFrame, vertices: DataFrame, options: NetworkOptions) -> DataFrame:
     """Pairs not evaluated yet with ``rank``: those at most vertices below the degree target,
     then those that would close the shortest cycle, then the most similar. Pairs without a way

@@ -5,13 +5,13 @@ import random
 import pytest
 
 from loomgraph import queries as Q
-from loomgraph.operators import pairs
+from loomgraph.operators import adaptive, pairs
 from tests.oracle import compare
 
 SCHEMA = "campaign string, name string, ord long, fp array<int>"
 
 
-@pytest.mark.parametrize("name", ["d04_f01_prefilter"])
+@pytest.mark.parametrize("name", ["d04_f01_prefilter", "f04_gap_rank"])
 def test_queries_over_many_blocks(spark, data, monkeypatch, name):
     monkeypatch.setattr(pairs, "BLOCK", 16)
     compare(spark, data, Q.QUERIES[name], Q.SQL[name])
@@ -66,3 +66,16 @@ def test_nearest_pairs(spark, monkeypatch, vertices, block):
     assert rows(pairs.prefilter(near, near, 2, 0.6)) == want
     n = near.collect()
     assert len({(r.campaign, r.source, r.target) for r in n}) == len(n)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_best_open_pairs(spark, monkeypatch, vertices, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    v = spark.createDataFrame(vertices, SCHEMA)
+    near = pairs.nearest(v, 2, 0.6)
+    got = adaptive.gaps(adaptive.best_open(v, near, 2, 0.6, 9), pairs.prefilter(near, near, 2, 0.6), 9)
+    want = set()
+    for c, s in plain(vertices).items():
+        left = set(s) - first(s, 2, by_other) - {p for p in s if s[p] >= 0.6}
+        want |= {(c, *p, k + 1) for k, p in enumerate(sorted(left, key=lambda p: (-s[p], p))[:9])}
+    assert {(r.campaign, r.source, r.target, r["rank"]) for r in got.collect()} == want
