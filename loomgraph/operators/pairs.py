@@ -247,12 +247,21 @@ def forests(vertices: DataFrame) -> DataFrame:
 
 
 def set_similarities(vertices: DataFrame) -> DataFrame:
-    """(campaign, u, v, sim) of all unordered pairs that share a member, by an inverted index:
-    pairs that share nothing are never formed. For sparse fingerprints over many vertices."""
+    """(campaign, u, v, sim) of all unordered pairs that share a member, by an inverted index.
+
+    Where members are rare, pairs meet by member, so those that share nothing are never formed.
+    Where the index would make more hits than the campaign has pairs, it is met block by block:
+    a pair's hits are added up in the task that finds them, and only pairs leave it.
+    """
     member = vertices.select(KEY, "name", F.size("fp").alias("n"), F.explode("fp").alias("bit"))
-    a, b = (member.select(KEY, "bit", F.col("name").alias(x), F.col("n").alias(f"n_{x}")) for x in ("u", "v"))
+    hits = member.groupBy(KEY, "bit").agg(F.count("*").cast("double").alias("n")).groupBy(KEY).agg(F.sum(F.col("n") * F.col("n")).alias("hits"))
+    dense = vertices.groupBy(KEY).agg(F.count("*").cast("double").alias("n")).join(hits, KEY).where("hits >= n * n").select(KEY)
+    rare = member.join(fresh(dense), KEY, "left_anti")
+    a, b = (rare.select(KEY, "bit", F.col("name").alias(x), F.col("n").alias(f"n_{x}")) for x in ("u", "v"))
     shared = a.join(b, [KEY, "bit"]).where("u < v").groupBy(KEY, "u", "v", "n_u", "n_v").agg(F.count("*").alias("c"))
-    return shared.select(KEY, "u", "v", (F.col("c") / (F.col("n_u") + F.col("n_v") - F.col("c"))).alias("sim"))
+    by_member = shared.select(KEY, "u", "v", (F.col("c") / (F.col("n_u") + F.col("n_v") - F.col("c"))).alias("sim"))
+    by_block = compared(vertices.join(fresh(dense), KEY, "left_semi"), lambda cell: cell.sim > 0)
+    return by_member.union(by_block.select(KEY, F.least("source", "target"), F.greatest("source", "target"), "sim"))
 
 
 def prefilter(pairs: DataFrame, sims: DataFrame, top_k: int, min_similarity: float) -> DataFrame:

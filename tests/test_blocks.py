@@ -11,7 +11,7 @@ from tests.oracle import compare
 SCHEMA = "campaign string, name string, ord long, fp array<int>"
 
 
-@pytest.mark.parametrize("name", ["d04_f01_prefilter", "f04_gap_rank"])
+@pytest.mark.parametrize("name", ["d04_f01_prefilter", "f04_gap_rank", "d03_similarities_by_index"])
 def test_queries_over_many_blocks(spark, data, monkeypatch, name):
     monkeypatch.setattr(pairs, "BLOCK", 16)
     compare(spark, data, Q.QUERIES[name], Q.SQL[name])
@@ -79,3 +79,12 @@ def test_best_open_pairs(spark, monkeypatch, vertices, block):
         left = set(s) - first(s, 2, by_other) - {p for p in s if s[p] >= 0.6}
         want |= {(c, *p, k + 1) for k, p in enumerate(sorted(left, key=lambda p: (-s[p], p))[:9])}
     assert {(r.campaign, r.source, r.target, r["rank"]) for r in got.collect()} == want
+
+
+def test_index_of_rare_and_of_common_members(spark, monkeypatch, vertices):
+    """Campaigns whose members are common meet by block, the others by member."""
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    rare = [("rare", f"r{k:02d}", k, [k, k + 1]) for k in range(30)]
+    got = pairs.set_similarities(spark.createDataFrame(vertices + rare, SCHEMA)).collect()
+    want = {(c, min(p), max(p)): x for c, s in plain(vertices + rare).items() for p, x in s.items() if x > 0}
+    assert {(r.campaign, r.u, r.v): pytest.approx(r.sim) for r in got} == want and len(got) == len(want)
