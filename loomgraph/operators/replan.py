@@ -43,13 +43,14 @@ def threshold(lmi: DataFrame, quantile: float = 0.9) -> DataFrame:
 
 def high_edges(selected: DataFrame, lmi: DataFrame, options: NetworkOptions, quantile: float = 0.9, cut: float | None = None, max_pruned: int | None = None, require_complete: bool = True) -> DataFrame:
     """(campaign, u, v, lmi) of selected edges strictly above the cut, but forced ones, the
-    highest first (rank). Missing values are an error unless allowed; no value at all always."""
+    highest first (rank). Missing values are an error unless allowed; edges without any value
+    always are. Without edges there is nothing to cut."""
     from pyspark.sql import Window
 
     on = [KEY, "u", "v"] if KEY in lmi.columns else ["u", "v"]
     joined = selected.select(KEY, "u", "v").join(lmi, on, "left")
     state = joined.agg(F.count("*").alias("n"), F.count("lmi").alias("have")).first()
-    if not state.have:
+    if state.n and not state.have:
         raise PlanError("no selected edge has a value")
     if require_complete and state.have < state.n:
         raise PlanError(f"{state.n - state.have} selected edges have no value")
