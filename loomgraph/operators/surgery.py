@@ -35,14 +35,17 @@ def delete_edge(vertices: DataFrame, selected: DataFrame, edge: str, must_stay_c
     return rest
 
 
-def append_vertex(selected: DataFrame, candidates: DataFrame, name: str, n_edges: int = 2, cbfe: DataFrame | None = None) -> DataFrame:
+def append_vertex(selected: DataFrame, candidates: DataFrame, name: str, n_edges: int = 2, cbfe: DataFrame | None = None, must_be_joined: bool = True) -> DataFrame:
     """selected with the vertex's ``n_edges`` cheapest feasible candidates; if it has none, its
-    cheapest counterpoised edge (``cbfe``: campaign, u, v, total), else an error."""
+    cheapest counterpoised edge (``cbfe``: campaign, u, v, total), else an error, unless it may
+    stay alone."""
     mine = candidates.where("feasible").withColumns({"u": F.least("source", "target"), "v": F.greatest("source", "target")}).where((F.col("u") == name) | (F.col("v") == name))
     row = Window.partitionBy(KEY).orderBy("total", "u", "v")
     new = mine.withColumn("_r", F.row_number().over(row)).where(F.col("_r") <= n_edges).select(KEY, "source", "target", "u", "v", F.lit("rbfe").alias("kind"), F.col("total").cast("double").alias("total"))
     if new.isEmpty():
         if cbfe is None:
+            if not must_be_joined:
+                return selected
             raise PlanError(f"nothing maps to {name!r}")
         own = cbfe.where((F.col("u") == name) | (F.col("v") == name)).withColumn("_r", F.row_number().over(row)).where("_r = 1")
         new = own.select(KEY, F.col("u").alias("source"), F.col("v").alias("target"), "u", "v", F.lit("cbfe").alias("kind"), F.col("total").cast("double").alias("total"))
