@@ -74,6 +74,25 @@ def similarities(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return pairs.join(one, [KEY, "source"]).join(two, [KEY, "target"]).withColumn("sim", tanimoto(F.col("_source"), F.col("_target"))).drop("_source", "_target")
 
 
+def tanimoto_matrix(fp: pa.ChunkedArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``tanimoto`` of the sets at places a, in rows, and those at b: shared members are counted
+    by a product of incidence columns."""
+    fp = fp.combine_chunks()
+    size = fp.value_lengths().fill_null(0).to_numpy()
+    owner = np.repeat(np.arange(len(size)), size)
+    member = np.asarray(fp.flatten().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False), np.int64)  # null is a member of its own
+    last = int(member.max(initial=-1)) + 1
+    shared, total = np.zeros((len(a), len(b)), np.float32), np.zeros(len(size))
+    for first in range(0, last, MEMBERS):
+        part = (member >= first) & (member < first + MEMBERS)
+        has = np.zeros((len(size), min(MEMBERS, last - first)), np.float32)
+        has[owner[part], member[part] - first] = 1
+        total += has.sum(axis=1)
+        shared += has[a] @ has[b].T
+    union = total[a][:, None] + total[b][None, :] - shared
+    return np.divide(shared, union, out=np.zeros(shared.shape), where=union > 0)
+
+
 class Cell:
     """All pairs of two blocks of a campaign's vertices, or of one block with itself.
 
@@ -92,24 +111,7 @@ class Cell:
         self.rank_a, self.rank_b = rank[self.at_a], rank[self.at_b]
         self.ord_a, self.ord_b = order[self.at_a], order[self.at_b]
         self.valid = self.ord_a[:, None] != self.ord_b[None, :]
-        self.sim = self._similarity() if len(self.at_b) else np.zeros((len(self.at_a), 0))
-
-    def _similarity(self) -> np.ndarray:
-        fp = self.table["fp"].combine_chunks()
-        size = fp.value_lengths().fill_null(0).to_numpy()
-        owner = np.repeat(np.arange(len(size)), size)
-        member = fp.flatten()
-        member = np.asarray(member.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False), np.int64)  # null is a member of its own
-        n, last = len(size), int(member.max(initial=-1)) + 1
-        shared, total = np.zeros((len(self.at_a), len(self.at_b)), np.float32), np.zeros(n)
-        for first in range(0, last, MEMBERS):
-            part = (member >= first) & (member < first + MEMBERS)
-            has = np.zeros((n, min(MEMBERS, last - first)), np.float32)
-            has[owner[part], member[part] - first] = 1
-            total += has.sum(axis=1)
-            shared += has[self.at_a] @ has[self.at_b].T
-        union = total[self.at_a][:, None] + total[self.at_b][None, :] - shared
-        return np.divide(shared, union, out=np.zeros(shared.shape), where=union > 0)
+        self.sim = tanimoto_matrix(table["fp"], self.at_a, self.at_b)
 
     def cut(self, i: np.ndarray, j: np.ndarray, value: np.ndarray, group: np.ndarray, most: int, by_pair: bool) -> np.ndarray:
         """Which of the pairs (i, j) are among the first ``most`` of their group: the most similar
