@@ -12,10 +12,12 @@ Soft targets that can't be met become rows of ``unmet``; what is impossible is a
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from loomgraph.operators import design as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import selection as S
 from loomgraph.operators.clustering import average_linkage, group_numbers
+from loomgraph.operators.dense import network
 from loomgraph.operators.pairs import KEY, fresh
 from loomgraph.plans.options import NetworkOptions, PlanError, pair_of
 
@@ -411,6 +414,43 @@ def _grouped(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions
     return Plan(out.where("message IS NULL").drop("seq", "message"), out.where("message IS NOT NULL").select(KEY, "seq", "message"))
 
 
+def plan_similar(vertices: DataFrame, options: NetworkOptions | None = None) -> Plan:
+    """What ``plan`` selects by "mst" from all pairs of vertices (campaign, name, ord, fp) at 1 less
+    their similarity. Only vertices go to a campaign's task, which makes similarities as it needs
+    them (``dense``): no table holds the pairs. Names and places are given and differ within a
+    campaign; of the options, ``edges_per_ligand`` may be any from 2 on, the others stay as they are."""
+    options = options or NetworkOptions()
+    target = options.edges_per_ligand
+    if target < 2 or dataclasses.replace(options, edges_per_ligand=2) != NetworkOptions():
+        raise PlanError("a plan over all pairs takes edges_per_ligand from 2 on and no other option; use plan")
+    spark = vertices.sparkSession
+    kind = vertices.schema[KEY].dataType.simpleString()
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("name")
+        names, place = table["name"].to_pylist(), table["ord"].to_pylist()
+        n = len(names)
+        for x in (names, place):
+            if None in x or len(set(x)) < n:
+                raise PlanError(f"campaign {key[0]}: names and places must be given and differ")
+        if n > 1 and not key[0].is_valid:
+            raise PlanError("vertices without a campaign have no pairs")
+        net, short = network(table["fp"].combine_chunks(), np.array(place), target)
+        ends = [(a, b) if place[a] < place[b] else (b, a) for a, b in net.cost]
+        rows = [(None, names[i], names[j], names[a], names[b], "rbfe", w, None) for (i, j), ((a, b), w) in zip(ends, net.cost.items(), strict=True)]
+        # fixed form of the message
+        rows += [(0, None, None, None, None, None, None, f"edges_per_ligand={target} unmet for {len(short)} ligand(s): {_names([names[i] for i in short])}")] if short else []
+        cols = list(zip(*rows, strict=True)) or [()] * 8
+        kinds = (pa.int32(), *[pa.string()] * 5, pa.float64(), pa.string())
+        return pa.table([pa.repeat(key[0], len(rows)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [KEY, "seq", "source", "target", "u", "v", "kind", "total", "message"])
+
+    # as many tasks as asked for: rows are few, what is done with them is not
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    v = vertices.select(KEY, "name", F.col("ord").cast("long").alias("ord"), "fp").repartition(tasks, KEY)
+    out = v.groupBy(KEY).applyInArrow(one, f"{KEY} {kind}, seq int, source string, target string, u string, v string, kind string, total double, message string")
+    return Plan(out.where("message IS NULL").drop("seq", "message"), out.where("message IS NOT NULL").select(KEY, "seq", "message"))
+
+
 def _all_cbfe(vertices: DataFrame, options: NetworkOptions) -> DataFrame:
     """Counterpoised candidates for all unordered pairs: no mapper has a say."""
     from loomgraph.operators.cbfe import pool
@@ -448,8 +488,6 @@ def plan(vertices: DataFrame, candidates: DataFrame, options: NetworkOptions | N
 
 
 def _without_cbfe(options: NetworkOptions) -> NetworkOptions:
-    import dataclasses
-
     return dataclasses.replace(options, cbfe_mode="off", compat=None)
 
 
